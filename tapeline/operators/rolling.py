@@ -75,7 +75,7 @@ def rolling(daily: DataFrame, entity: str, day: str, value: str, spans: tuple[in
         given = pdf["_first"].notna().to_numpy()
         extents = pdf[given].sort_values(entity, kind="stable")
         data = pdf[~given]
-        out = []
+        out: list[tuple] = []
         for lo in range(0, len(extents), ENTITIES):
             part = extents.iloc[lo : lo + ENTITIES]
             names = pd.Index(part[entity])
@@ -93,21 +93,14 @@ def rolling(daily: DataFrame, entity: str, day: str, value: str, spans: tuple[in
                 band = banded(TILE_DAYS, halo, span)
                 counts = (active @ band)[row, col]
                 total = np.where(counts > 0, (dense @ band)[row, col], 0.0)
-                out.append(
-                    pd.DataFrame(
-                        {
-                            entity: names.to_numpy()[row],
-                            "asof": col + base,
-                            "span": span,
-                            "total": total,
-                            "average": total / span,
-                            "active": counts.astype("int64"),
-                        }
-                    )
-                )
+                out.append((lo + row, col + base, np.full(len(row), span), total, total / span, counts.astype("int64")))
+        names = extents[entity].to_numpy(dtype=object)
         if not out:
-            return pd.DataFrame({entity: [], "asof": [], "span": [], "total": [], "average": [], "active": []})
-        return pd.concat(out)
+            out = [tuple(np.zeros(0, kind) for kind in ("int64", "int64", "int64", "float64", "float64", "int64"))]
+        at, asof, span, total, average, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame(
+            {entity: names[at], "asof": asof, "span": span, "total": total, "average": average, "active": counts}
+        )
 
     schema = f"`{entity}` {kind}, asof int, span long, total double, average double, active long"
     done = grouped.groupBy("_b", "_t").applyInPandas(run, schema)
