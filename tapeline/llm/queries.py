@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import corpus, nearest, packing
+from tapeline.llm import corpus, nearest, packing, sentences
 from tapeline.sources.tables import table
 
 
@@ -40,7 +40,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p7_ids, p8_packed, p8_fill)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    ends = sentences.sentence_ends(table(spark, d, "documents"))
+    return ends.select("doc_id", F.explode("ends").alias("end_pos"))
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences themselves with their places."""
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p7_ids, p8_packed, p8_fill, p9_found, p9_sentences)}
 
 _TIME = "CAST(round(coalesce({0}, CASE WHEN {1} LIKE '%:%' THEN split_part({1}, ':', 1)::DOUBLE * 3600 + split_part({1}, ':', 2)::DOUBLE * 60 + split_part({1}, ':', 3)::DOUBLE ELSE TRY_CAST({1} AS DOUBLE) / 1000 END) * 10000) AS BIGINT)"
 _P4 = f"""
