@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 NOTHING, WORD, BREAK, MASKED, END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 MARKS = ".?!。！？।॥؟۔｡"
 CLOSERS = "'’”»\"“)\\]」』】》）］｝}"
-CASED = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}"
-CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+CASED = r"a-zA-Z\xc0-\u052f\u1e00-\u1fff"
+# scripts by their blocks: a block is a comparison, a script property a search
+CJK = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
+THAI = r"\u0e00-\u0e7f"
+DEVANAGARI = r"\u0900-\u097f"
+#: What can't be seen.
+BLANK = r"\s\xa0\u2000-\u200b\u2028\u2029\u3000\ufeff"
 
 DISPLAYS = "equation|align|gather|multline|eqnarray|displaymath|flalign"
 FLOATS = "figure|table|verbatim|lstlisting|thebibliography|tikzpicture|tabular"
@@ -87,43 +92,50 @@ _BREAKS = rf"^\\(?:(?:{HEADINGS}|item)(?![a-zA-Z])|begin\{{|end\{{(?!document\}}
 _SILENT = rf"^\\(?:(?:{SILENT}|iffalse|maketitle|tableofcontents|centering|newpage|clearpage|noindent|bigskip|medskip|smallskip)(?![a-zA-Z])|end\{{document\}})"
 
 #: What shows that a sentence goes on after a quotation: a small letter, a comma, or a script without capitals.
-_GOES_ON = rf"(?=[\s{NOTHING}]*[\p{{Ll}},;:，、；]|[{CJK}]|\s*\p{{IsDevanagari}})"
-_QUOTES = rf"``[^`{BREAK}]*?''{_GOES_ON}|“[^“”{BREAK}]*+”{_GOES_ON}|„[^„“{BREAK}]*+“{_GOES_ON}|«[^«»{BREAK}]*+»{_GOES_ON}|「[^「」{BREAK}]*+」{_GOES_ON}|[^`“„«「]++|[\s\S]"
+_GOES_ON = rf"(?=[\s{NOTHING}]*[\p{{Ll}},;:，、；]|[{CJK}]|\s*[{DEVANAGARI}])"
+_QUOTES = rf"``(?:[^`'{BREAK}]++|'(?!'))*+''{_GOES_ON}|“[^“”{BREAK}]*+”{_GOES_ON}|„[^„“{BREAK}]*+“{_GOES_ON}|«[^«»{BREAK}]*+»{_GOES_ON}|「[^「」{BREAK}]*+」{_GOES_ON}|[\x00-\x5f\x61-\x7f]++|[^`“„«「]++|[\s\S]"
 
-#: Marks that end nothing.
-_IDLE = "|".join(
-    (
-        r"\.(?=\p{N})(?<=[\p{L}\p{N}]\.)",  # 3.14, A.5
-        rf"\.(?=[\p{{IsLatin}}\p{{IsCyrillic}}])(?<={_NOT_IN_WORD}[{CASED}]\.)",  # e.g, U.S
-        r"\.(?=-)",
-        rf"\.(?<={_NOT_IN_WORD}(?:e\.g|i\.e)\.)",
-        rf"\.(?<={_NOT_IN_WORD}(?:{ALWAYS})\.)",
-        rf"\.(?<={_NOT_IN_WORD}(?:{NUMBERED})\.)(?={_G}[\p{{N}}\p{{So}}<\[])",
-        rf"\.(?<={_NOT_IN_WORD}(?:{SOMETIMES})\.)(?=[\s~{NOTHING}]*[\p{{Ll}}\p{{N}},;:{WORD}])",
-        rf"\.(?<={_NOT_IN_WORD}\p{{Ll}}\.)",  # z., т.
-        rf"\.(?<=z\.{_G}B\.)",
-        rf"\.(?<={_NOT_IN_WORD}\p{{Lu}}\.)(?<!App\.[\s~]{{1,3}}\p{{Lu}}\.)(?={_G}[\p{{Lu}}\p{{So}}<\[])",  # initials
-        rf"\.(?<=(?:^|[\s(])(?:د|أ|डॉ|श्री|प्रो)\.)",
-        rf"\.(?<={_NOT_IN_WORD}(?:[AI]m|[Vv]om|[Zz]um|[Bb]eim|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Dd]em)\s{{1,3}}\p{{N}}{{1,2}}\.)",  # Am 3. Mai
-        r"\.(?=\.)|\.(?<=\.\.)",  # omission
+#: Marks that end nothing. What makes a dot one is looked for behind or before it, the dot itself only once.
+_IDLE = (
+    r"\.(?:"
+    + "|".join(
+        (
+            r"(?=\p{N})(?<=[\p{L}\p{N}]\.)",  # 3.14, A.5
+            rf"(?=[{CASED}])(?<={_NOT_IN_WORD}[{CASED}]\.)",  # e.g, U.S
+            r"(?=[-.])",
+            rf"(?<={_NOT_IN_WORD}(?:e\.g|i\.e)\.)",
+            rf"(?<={_NOT_IN_WORD}(?:{ALWAYS})\.)",
+            rf"(?<={_NOT_IN_WORD}(?:{NUMBERED})\.)(?={_G}[\p{{N}}\p{{So}}<\[])",
+            rf"(?<={_NOT_IN_WORD}(?:{SOMETIMES})\.)(?=[\s~{NOTHING}]*[\p{{Ll}}\p{{N}},;:{WORD}])",
+            rf"(?<={_NOT_IN_WORD}\p{{Ll}}\.)",  # z., т.
+            rf"(?<=z\.{_G}B\.)",
+            rf"(?<={_NOT_IN_WORD}\p{{Lu}}\.)(?<!App\.[\s~]{{1,3}}\p{{Lu}}\.)(?={_G}[\p{{Lu}}\p{{So}}<\[])",  # initials
+            r"(?<=(?:^|[\s(])(?:د|أ|डॉ|श्री|प्रो)\.)",
+            rf"(?<={_NOT_IN_WORD}(?:[AI]m|[Vv]om|[Zz]um|[Bb]eim|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Dd]em)\s{{1,3}}\p{{N}}{{1,2}}\.)",  # Am 3. Mai
+            r"(?<=\.\.)",  # omission
+        )
     )
+    + ")"
 )
 
 _SHUT = f"[{MARKS}{CLOSERS}]"
-_ON = rf"(?![\s{NOTHING}]*\p{{Ll}})"
-#: The last character of a sentence, with what goes before it of marks and closers as group 1.
-_LAST = "|".join(
+_ON = rf"(?![{BLANK}{NOTHING}]*\p{{Ll}})"
+#: The last character of a sentence, with what goes before it of marks and closers as group 1 or 2. Most places are ruled
+#: out at the first step: within placeholders, at other ASCII than marks, before visible ASCII.
+_LAST = rf"(?!{WORD}{WORD}|[{NOTHING}{BREAK}])(?:" + "|".join(
     (
+        r"(?![\x00-\x20\x22-\x2d\x2f-\x3e\x40-\x7f])" + rf"(?=[{MARKS}])(?:"
         # a mark that needs no blank after it
-        rf"(?=[。！？।॥؟۔｡]|(?<=[{CJK}])[.?!])((?:{_SHUT}+\s(?=»))?{_SHUT}*){_SHUT}(?!{_SHUT})",
+        rf"(?=[。！？।॥؟۔｡]|[.?!](?<=[{CJK}][.?!]))((?:{_SHUT}+\s(?=»))?{_SHUT}*){_SHUT}(?!{_SHUT})|"
         # a mark before a blank, with no small letter after it
-        rf"(?=[.?!])((?:{_SHUT}+\s(?=»))?{_SHUT}*){_SHUT}(?!{_SHUT})(?={NOTHING}|\s|{BREAK}|\z){_ON}",
+        rf"((?:{_SHUT}+\s(?=»))?{_SHUT}*){_SHUT}(?!{_SHUT})(?=[{BLANK}{NOTHING}{BREAK}]|\z){_ON})",
+        rf"(?!(?s:.)[!-~])[^{BLANK}{NOTHING}{BREAK}](?=[{BLANK}{NOTHING}{BREAK}]|\z)(?:"
         # the last visible character of a paragraph or item
-        rf"()[^\s{NOTHING}{BREAK}](?=[\s{NOTHING}]*(?:{BREAK}|\n[ \t\r]*\n|\z))",
+        rf"(?=[{BLANK}{NOTHING}]*(?:{BREAK}|\n[ \t\r]*\n|\z))|"
         # Thai before a blank
-        rf"()(?:\p{{IsThai}}(?=[ \t]+[\p{{IsThai}}{WORD}\p{{N}}])|[{WORD}\p{{N}}](?=[ \t]+\p{{IsThai}}))",
+        rf"(?<=[{THAI}])(?=[ \t]+[{THAI}{WORD}\p{{N}}])|(?<=[{WORD}\p{{N}}])(?=[ \t]+[{THAI}]))",
     )
-)
+) + ")"
 
 
 def _fill(t: Column, with_: str) -> Column:
@@ -157,7 +169,10 @@ def _tiled(c: Column, tiles: str, each) -> Column:
 
 def body(text: Column) -> Column:
     """The text after ``\\begin{document}``, or all of it; placeholders that the text itself holds are put out of the way."""
-    own = F.translate(text, NOTHING + WORD + BREAK + MASKED + END, "xxxxx")
+    holders = F.lit(False)
+    for c in (NOTHING, WORD, BREAK, MASKED, END):
+        holders = holders | F.contains(text, F.lit(c))
+    own = F.when(holders, F.regexp_replace(text, f"[{NOTHING}-{END}]", "x")).otherwise(text)
     return F.when(F.contains(own, F.lit(r"\begin{document}")), F.substr(own, F.locate(r"\begin{document}", own) + F.lit(16))).otherwise(own)
 
 
@@ -169,7 +184,7 @@ def ends_marked(body_: Column) -> Column:
         _QUOTES,
         lambda t: F.when(F.substring(t, 1, 1).isin("`", "“", "„", "«", "「") & (F.length(t) > 1), F.translate(t, MARKS, MASKED * len(MARKS))).otherwise(t),
     )
-    return F.regexp_replace(F.regexp_replace(idle_quotes, _IDLE, MASKED), _LAST, "$1$2$3$4" + END)
+    return F.regexp_replace(F.regexp_replace(idle_quotes, _IDLE, MASKED), _LAST, "$1$2" + END)
 
 
 def sentence_ends(documents: DataFrame) -> DataFrame:
@@ -209,7 +224,7 @@ def sentences(documents: DataFrame) -> DataFrame:
         .withColumn("_offset", F.length("text") - F.length("_body"))
         .withColumn("_parts", F.split(ends_marked(F.col("_body")), END))
     )
-    lead = lambda part: F.length(F.regexp_extract(part, rf"^[\s{NOTHING}{BREAK}]*+", 0))
+    lead = lambda part: F.length(F.regexp_extract(part, rf"^[{BLANK}{NOTHING}{BREAK}]*+", 0))
     spans = F.aggregate(
         F.slice("_parts", F.lit(1), F.size("_parts") - 1),
         F.struct(F.col("_offset").cast("long").alias("at"), F.array().cast("array<struct<start_pos:bigint,end_pos:bigint>>").alias("spans")),
