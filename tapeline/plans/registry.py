@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tapeline.plans import problems
+from tapeline.plans import flow, problems
 
+MODULES = (problems, flow)
 FLAGSHIP = "p1_found"
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
