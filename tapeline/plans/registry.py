@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeline.plans import flow, problems
+from tapeline.plans import bars, flow, problems
 
-MODULES = (problems, flow)
-FLAGSHIP = "p1_found"
+MODULES = (problems, flow, bars)
+FLAGSHIP = "rank_ic_summary"
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
