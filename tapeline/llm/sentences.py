@@ -1,18 +1,18 @@
 """Sentence boundaries of LaTeX documents in many scripts, in SQL expressions only.
 
-Every step keeps the text's length in code points, so a place in the masked text is the
-same place in the text:
+Every step but the last keeps the text's length in code points, so a place in the masked text
+is the same place in the text:
 
 1. The body is tiled into plain runs and markup; markup is filled with placeholders of the
    private-use area: ``NOTHING`` (comments, labels), ``WORD`` (formulas, citations, commands)
    and ``BREAK`` (headings, floats, list items). Of a displayed formula its closing mark stays.
 2. Marks within a quotation whose sentence goes on, and those of decimals, abbreviations,
    initials, addresses and omissions, are masked.
-3. The last character of each sentence is replaced by ``END``: one that closes with a mark
+3. ``END`` is put in after the last character of each sentence: one that closes with a mark
    of its script, one that a paragraph, list item or line before a list cuts off, or, in
    Thai, one before a blank.
 
-Splitting at ``END`` then gives the places, and the original text between them the sentences.
+The lengths of the parts between ``END`` then give the places, and the original text between them the sentences.
 """
 
 from __future__ import annotations
@@ -20,16 +20,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NOTHING, WORD, BREAK, MASKED, END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
-MARKS = ".?!。！？।॥؟۔｡"
-CLOSERS = "'’”»\"“)\\]」』】》）］｝}"
+WORD, NOTHING, BREAK, MASKED, END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+
+# Marks, quotation marks and brackets of scripts beyond ASCII are brought to places side by side in the private-use area, and
+# blanks to the ASCII blank: a class of ASCII and one range is a few comparisons, one of scattered characters a long search.
+#: Sentence marks that need no blank after them.
+FULL_MARKS = "。！？।॥؟۔｡"
+OPENING, BOTH, CLOSING = "„«「『", "“", "”»」’』】》）］｝"
+BLANKS = "\xa0\u2002\u2003\u2009\u200a\u200b\u2028\u2029\u202f\u3000\ufeff"
+PLACES = {c: chr(0xE010 + i) for i, c in enumerate(FULL_MARKS)} | {c: chr(0xE020 + i) for i, c in enumerate(OPENING + BOTH + CLOSING)}
+#: What the text holds of the area itself is put out of the way.
+_FROM = "".join(PLACES) + BLANKS + "".join(map(chr, range(0xE000, 0xE050)))
+_TO = "".join(PLACES.values()) + " " * len(BLANKS) + "x" * 80
+_FULL = f"{PLACES['。']}-{PLACES['｡']}"
+_MARK = f".?!{_FULL}"
+_OPEN = f"`{PLACES['„']}-{PLACES['“']}"
+_CLOSE = f"'\")\\]}}{PLACES['“']}-{PLACES['｝']}"
+
 CASED = r"a-zA-Z\xc0-\u052f\u1e00-\u1fff"
 # scripts by their blocks: a block is a comparison, a script property a search
 CJK = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
 THAI = r"\u0e00-\u0e7f"
 DEVANAGARI = r"\u0900-\u097f"
-#: What can't be seen.
-BLANK = r"\s\xa0\u2000-\u200b\u2028\u2029\u3000\ufeff"
 
 DISPLAYS = "equation|align|gather|multline|eqnarray|displaymath|flalign"
 FLOATS = "figure|table|verbatim|lstlisting|thebibliography|tikzpicture|tabular"
@@ -86,23 +98,33 @@ def _tiles() -> str:
 
 
 TILES = _tiles()
-_DISPLAY = rf"^(?:\$\$|\\\[|\\begin\{{(?:{DISPLAYS})\*?\}})"
-_DISPLAY_TAIL = rf"[{MARKS}][\s]*(?:\$\$|\\\]|\\end\{{[a-z]+\*?\}})$"
+_DISPLAY = rf"^\\begin\{{(?:{DISPLAYS})\*?\}}"
+_DISPLAY_TAIL = rf"[.?!{FULL_MARKS}][\s]*(?:\$\$|\\\]|\\end\{{[a-z]+\*?\}})$"
 _BREAKS = rf"^\\(?:(?:{HEADINGS}|item)(?![a-zA-Z])|begin\{{|end\{{(?!document\}}))"
 _SILENT = rf"^\\(?:(?:{SILENT}|iffalse|maketitle|tableofcontents|centering|newpage|clearpage|noindent|bigskip|medskip|smallskip)(?![a-zA-Z])|end\{{document\}})"
 
 #: What shows that a sentence goes on after a quotation: a small letter, a comma, or a script without capitals.
 _GOES_ON = rf"(?=[\s{NOTHING}]*[\p{{Ll}},;:，、；]|[{CJK}]|\s*[{DEVANAGARI}])"
-_QUOTES = rf"``(?:[^`'{BREAK}]++|'(?!'))*+''{_GOES_ON}|“[^“”{BREAK}]*+”{_GOES_ON}|„[^„“{BREAK}]*+“{_GOES_ON}|«[^«»{BREAK}]*+»{_GOES_ON}|「[^「」{BREAK}]*+」{_GOES_ON}|[\x00-\x5f\x61-\x7f]++|[^`“„«「]++|[\s\S]"
+
+
+def _quotes() -> str:
+    """Quotations whose sentence goes on, and all else."""
+    pairs = [("„", "“"), ("“", "”"), ("«", "»"), ("「", "」"), ("『", "』")]
+    inside = "|".join(
+        rf"{PLACES[a]}[^{PLACES[a]}{PLACES[b]}{BREAK}]*+{PLACES[b]}{_GOES_ON}" for a, b in pairs
+    )
+    return rf"[^{_OPEN}]++|``(?:[^`'{BREAK}]++|'(?!'))*+''{_GOES_ON}|{inside}|[\s\S]"
+
+
+_QUOTES = _quotes()
 
 #: Marks that end nothing. What makes a dot one is looked for behind or before it, the dot itself only once.
 _IDLE = (
-    r"\.(?:"
+    r"\.(?:(?=[-.])|(?<=\.\.)|(?<![a-z]{7}\.)(?:"  # omission; no abbreviation is longer
     + "|".join(
         (
             r"(?=\p{N})(?<=[\p{L}\p{N}]\.)",  # 3.14, A.5
             rf"(?=[{CASED}])(?<={_NOT_IN_WORD}[{CASED}]\.)",  # e.g, U.S
-            r"(?=[-.])",
             rf"(?<={_NOT_IN_WORD}(?:e\.g|i\.e)\.)",
             rf"(?<={_NOT_IN_WORD}(?:{ALWAYS})\.)",
             rf"(?<={_NOT_IN_WORD}(?:{NUMBERED})\.)(?={_G}[\p{{N}}\p{{So}}<\[])",
@@ -112,30 +134,27 @@ _IDLE = (
             rf"(?<={_NOT_IN_WORD}\p{{Lu}}\.)(?<!App\.[\s~]{{1,3}}\p{{Lu}}\.)(?={_G}[\p{{Lu}}\p{{So}}<\[])",  # initials
             r"(?<=(?:^|[\s(])(?:د|أ|डॉ|श्री|प्रो)\.)",
             rf"(?<={_NOT_IN_WORD}(?:[AI]m|[Vv]om|[Zz]um|[Bb]eim|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Dd]em)\s{{1,3}}\p{{N}}{{1,2}}\.)",  # Am 3. Mai
-            r"(?<=\.\.)",  # omission
         )
     )
-    + ")"
+    + "))"
 )
 
-_SHUT = f"[{MARKS}{CLOSERS}]"
-_ON = rf"(?![{BLANK}{NOTHING}]*\p{{Ll}})"
-#: The last character of a sentence, with what goes before it of marks and closers as group 1 or 2. Most places are ruled
-#: out at the first step: within placeholders, at other ASCII than marks, before visible ASCII.
-_LAST = rf"(?!{WORD}{WORD}|[{NOTHING}{BREAK}])(?:" + "|".join(
-    (
-        r"(?![\x00-\x20\x22-\x2d\x2f-\x3e\x40-\x7f])" + rf"(?=[{MARKS}])(?:"
-        # a mark that needs no blank after it
-        rf"(?=[。！？।॥؟۔｡]|[.?!](?<=[{CJK}][.?!]))((?:{_SHUT}+\s(?=»))?{_SHUT}*){_SHUT}(?!{_SHUT})|"
-        # a mark before a blank, with no small letter after it
-        rf"((?:{_SHUT}+\s(?=»))?{_SHUT}*){_SHUT}(?!{_SHUT})(?=[{BLANK}{NOTHING}{BREAK}]|\z){_ON})",
-        rf"(?!(?s:.)[!-~])[^{BLANK}{NOTHING}{BREAK}](?=[{BLANK}{NOTHING}{BREAK}]|\z)(?:"
-        # the last visible character of a paragraph or item
-        rf"(?=[{BLANK}{NOTHING}]*(?:{BREAK}|\n[ \t\r]*\n|\z))|"
-        # Thai before a blank
-        rf"(?<=[{THAI}])(?=[ \t]+[{THAI}{WORD}\p{{N}}])|(?<=[{WORD}\p{{N}}])(?=[ \t]+[{THAI}]))",
-    )
-) + ")"
+_SHUT = f"[{_MARK}{_CLOSE}]"
+_TAIL = rf"{_SHUT}*+(?:\s{PLACES['»']}{_SHUT}*+)?+"
+_AFTER = rf"[\s{NOTHING}{BREAK}]"
+#: The end of a sentence: as group 1 the mark that makes it and what closes with it, or as group 2 the blank or markup after its last character.
+_LAST = (
+    # a mark that needs no blank after it
+    rf"([{_FULL}]{_TAIL}|[.?!](?:(?<=[{CJK}][.?!]){_TAIL}|"
+    # a mark before a blank, with no small letter after it
+    rf"{_TAIL}(?={_AFTER})(?![\s{NOTHING}]*\p{{Ll}})))|"
+    # markup after the last visible character of a paragraph or item
+    rf"({BREAK}(?<=[^\s{NOTHING}{BREAK}]{BREAK})|"
+    # blanks after it
+    rf"[\s{NOTHING}](?![!-~])(?<=[^\s{NOTHING}{BREAK}][\s{NOTHING}])(?:(?<=\n)(?=[ \t\r]*\n)|(?=[\s{NOTHING}]*(?:{BREAK}|\n[ \t\r]*\n))|"
+    # Thai before a blank
+    rf"(?<=[ \t])(?:(?=[ \t]*[{THAI}])(?<=[{THAI}{WORD}\p{{N}}][ \t])|(?<=[{THAI}][ \t])(?=[ \t]*[{WORD}\p{{N}}]))))"
+)
 
 
 def _fill(t: Column, with_: str) -> Column:
@@ -147,16 +166,17 @@ def _masked_tile(t: Column) -> Column:
     display = F.when(tail == "", _fill(t, WORD)).otherwise(
         F.concat(
             F.repeat(F.lit(WORD), F.length(t) - F.length(tail)),
-            F.substring(tail, 1, 1),
+            F.translate(F.substring(tail, 1, 1), _FROM, _TO),
             F.repeat(F.lit(NOTHING), F.length(tail) - 1),
         )
     )
-    first = F.substring(t, 1, 1)
+    first = F.ascii(t)
+    plain = F.when(F.octet_length(t) == F.length(t), t).otherwise(F.translate(t, _FROM, _TO))
     return (
-        F.when(~first.isin("\\", "$", "%"), t)
-        .when(first == "%", _fill(t, NOTHING))
-        .when(t.rlike(_DISPLAY), display)
-        .when(first == "$", _fill(t, WORD))
+        F.when(~first.isin(36, 37, 92), plain)
+        .when(first == 37, _fill(t, NOTHING))
+        .when(first == 36, F.when(F.startswith(t, F.lit("$$")), display).otherwise(_fill(t, WORD)))
+        .when(F.startswith(t, F.lit("\\[")) | t.rlike(_DISPLAY), display)
         .when(t.rlike(_BREAKS), _fill(t, BREAK))
         .when(t.rlike(_SILENT), _fill(t, NOTHING))
         .otherwise(_fill(t, WORD))
@@ -168,76 +188,69 @@ def _tiled(c: Column, tiles: str, each) -> Column:
 
 
 def body(text: Column) -> Column:
-    """The text after ``\\begin{document}``, or all of it; placeholders that the text itself holds are put out of the way."""
-    holders = F.lit(False)
-    for c in (NOTHING, WORD, BREAK, MASKED, END):
-        holders = holders | F.contains(text, F.lit(c))
-    own = F.when(holders, F.regexp_replace(text, f"[{NOTHING}-{END}]", "x")).otherwise(text)
-    return F.when(F.contains(own, F.lit(r"\begin{document}")), F.substr(own, F.locate(r"\begin{document}", own) + F.lit(16))).otherwise(own)
+    """The text after ``\\begin{document}``, or all of it."""
+    at = F.locate(r"\begin{document}", text)
+    return F.when(at > 0, F.substr(text, at + F.lit(16))).otherwise(text)
 
 
 def ends_marked(body_: Column) -> Column:
-    """``body_`` with markup and idle marks masked and ``END`` in place of the last character of each sentence."""
-    masked = _tiled(body_, TILES, _masked_tile)
+    """``body_`` with markup and idle marks masked, and ``END`` put in after the last character of each sentence.
+
+    Where a mark ends a paragraph too, there are two of them.
+    """
+    masked = F.concat(_tiled(body_, TILES, _masked_tile), F.lit(BREAK))
     idle_quotes = _tiled(
-        masked,
-        _QUOTES,
-        lambda t: F.when(F.substring(t, 1, 1).isin("`", "“", "„", "«", "「") & (F.length(t) > 1), F.translate(t, MARKS, MASKED * len(MARKS))).otherwise(t),
+        masked, _QUOTES, lambda t: F.when(t.rlike(f"^[{_OPEN}]"), F.regexp_replace(t, f"[{_MARK}]", MASKED)).otherwise(t)
     )
-    return F.regexp_replace(F.regexp_replace(idle_quotes, _IDLE, MASKED), _LAST, "$1$2" + END)
+    return F.regexp_replace(F.regexp_replace(idle_quotes, _IDLE, MASKED), _LAST, "$1" + END + "$2")
 
 
-def sentence_ends(documents: DataFrame) -> DataFrame:
-    """One row a document with its id, text, and ``ends``: the places of the sentences' last characters, 0-based in code points.
-
-    Null, empty and blank texts, and texts without running text, have no sentences. The order is that of the text.
-    """
-    offset = F.length("text") - F.length("_body")
-    parts = F.split("_marked", END)
-    places = F.aggregate(
-        F.slice(parts, F.lit(1), F.size(parts) - 1),
-        F.struct(F.col("_offset").cast("long").alias("at"), F.array().cast("array<long>").alias("ends")),
-        lambda acc, part: F.struct(
-            (acc["at"] + F.length(part) + 1).alias("at"), F.array_append(acc["ends"], acc["at"] + F.length(part)).alias("ends")
-        ),
-        lambda acc: acc["ends"],
-    )
+def _marked(documents: DataFrame) -> DataFrame:
+    """doc_id, text, ``_offset`` of the body and ``_parts``: the masked body split at the sentences' ends."""
     return (
         documents.select("doc_id", "text")
         .where("text IS NOT NULL")
         .withColumn("_body", body(F.col("text")))
-        .withColumn("_offset", offset)
+        .withColumn("_offset", F.length("text") - F.length("_body"))
         .withColumn("_marked", ends_marked(F.col("_body")))
-        .select("doc_id", "text", places.alias("ends"))
+        .select("doc_id", "text", "_offset", F.split("_marked", END).alias("_parts"))
     )
 
 
+def _places(each, kind: str) -> Column:
+    """``each(start, part)`` of every part but the last, in order, as an array of ``kind``."""
+    return F.aggregate(
+        F.slice("_parts", F.lit(1), F.size("_parts") - 1),
+        F.struct(F.col("_offset").cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+        lambda acc, part: F.when(part == "", acc).otherwise(
+            F.struct((acc["at"] + F.length(part)).alias("at"), F.array_append(acc["out"], each(acc["at"], part)).alias("out"))
+        ),
+        lambda acc: acc["out"],
+    )
+
+
+def sentence_ends(documents: DataFrame) -> DataFrame:
+    """One row a document with its id and ``ends``: the places of the sentences' last characters, 0-based in code points.
+
+    Null texts have no row; empty and blank ones, and texts without running text, have no ends. The order is that of the text.
+    """
+    return _marked(documents).select("doc_id", _places(lambda at, part: at + F.length(part) - 1, "bigint").alias("ends"))
+
+
 def sentences(documents: DataFrame) -> DataFrame:
     """One row a sentence: doc_id, ``number`` from 0, ``start_pos`` and ``end_pos`` (both included), ``sentence`` as it stands in the text.
 
     A sentence begins at the first character after the one before it that is neither blank nor markup that is no running text.
     """
-    marked = (
-        documents.select("doc_id", "text")
-        .where("text IS NOT NULL")
-        .withColumn("_body", body(F.col("text")))
-        .withColumn("_offset", F.length("text") - F.length("_body"))
-        .withColumn("_parts", F.split(ends_marked(F.col("_body")), END))
-    )
-    lead = lambda part: F.length(F.regexp_extract(part, rf"^[{BLANK}{NOTHING}{BREAK}]*+", 0))
-    spans = F.aggregate(
-        F.slice("_parts", F.lit(1), F.size("_parts") - 1),
-        F.struct(F.col("_offset").cast("long").alias("at"), F.array().cast("array<struct<start_pos:bigint,end_pos:bigint>>").alias("spans")),
-        lambda acc, part: F.struct(
-            (acc["at"] + F.length(part) + 1).alias("at"),
-            F.array_append(
-                acc["spans"],
-                F.struct((acc["at"] + lead(part)).alias("start_pos"), (acc["at"] + F.length(part)).alias("end_pos")),
-            ).alias("spans"),
+    lead = rf"^[\s{NOTHING}{BREAK}]*+"
+    spans = _places(
+        lambda at, part: F.struct(
+            (at + F.length(F.regexp_extract(part, lead, 0))).alias("start_pos"), (at + F.length(part) - 1).alias("end_pos")
         ),
-        lambda acc: acc["spans"],
+        "struct<start_pos:bigint,end_pos:bigint>",
     )
-    return marked.select("doc_id", "text", F.posexplode(spans).alias("number", "_s")).select(
+    rows = _marked(documents).select("doc_id", "text", F.posexplode(spans).alias("number", "_s"))
+    return rows.select(
         "doc_id",
         "number",
         "_s.start_pos",
