@@ -118,25 +118,21 @@ def _quotes() -> str:
 
 _QUOTES = _quotes()
 
-#: Marks that end nothing. What makes a dot one is looked for behind or before it, the dot itself only once.
+_LETTERS = f"[^\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f{WORD}-\ue0ff]"
+#: Marks that end nothing. The dot is looked for once; what stands right before it decides which rules are tried, and of
+#: those with a condition on what follows that comes first.
 _IDLE = (
-    r"\.(?:(?=[-.])|(?<=\.\.)|(?<![a-z]{7}\.)(?:"  # omission; no abbreviation is longer
-    + "|".join(
-        (
-            r"(?=\p{N})(?<=[\p{L}\p{N}]\.)",  # 3.14, A.5
-            rf"(?=[{CASED}])(?<={_NOT_IN_WORD}[{CASED}]\.)",  # e.g, U.S
-            rf"(?<={_NOT_IN_WORD}(?:e\.g|i\.e)\.)",
-            rf"(?<={_NOT_IN_WORD}(?:{ALWAYS})\.)",
-            rf"(?<={_NOT_IN_WORD}(?:{NUMBERED})\.)(?={_G}[\p{{N}}\p{{So}}<\[])",
-            rf"(?<={_NOT_IN_WORD}(?:{SOMETIMES})\.)(?=[\s~{NOTHING}]*[\p{{Ll}}\p{{N}},;:{WORD}])",
-            rf"(?<={_NOT_IN_WORD}\p{{Ll}}\.)",  # z., т.
-            rf"(?<=z\.{_G}B\.)",
-            rf"(?<={_NOT_IN_WORD}\p{{Lu}}\.)(?<!App\.[\s~]{{1,3}}\p{{Lu}}\.)(?={_G}[\p{{Lu}}\p{{So}}<\[])",  # initials
-            r"(?<=(?:^|[\s(])(?:د|أ|डॉ|श्री|प्रो)\.)",
-            rf"(?<={_NOT_IN_WORD}(?:[AI]m|[Vv]om|[Zz]um|[Bb]eim|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Dd]em)\s{{1,3}}\p{{N}}{{1,2}}\.)",  # Am 3. Mai
-        )
-    )
-    + "))"
+    rf"\.(?:(?=[-.])|(?<=\.\.)|"  # omission
+    rf"(?<=\p{{N}}\.)(?:(?=\p{{N}})|"  # 3.14
+    rf"(?<=(?:[AI]m|[Vv]om|[Zz]um|[Bb]eim|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Dd]em)\s{{1,3}}\p{{N}}{{1,2}}\.))|"  # Am 3. Mai
+    # no abbreviation is longer than six letters
+    rf"(?<={_LETTERS}\.)(?<![a-z]{{7}}\.)(?:(?=\p{{N}})|"  # A.5
+    rf"(?<={_NOT_IN_WORD}(?:{ALWAYS}|[ei]\.[eg]|\p{{Ll}})\.)|"
+    rf"(?={_G}[\p{{N}}\p{{So}}<\[])(?<={_NOT_IN_WORD}(?:{NUMBERED})\.)|"
+    rf"(?=[\s~{NOTHING}]*[\p{{Ll}}\p{{N}},;:{WORD}])(?<={_NOT_IN_WORD}(?:{SOMETIMES})\.)|"
+    rf"(?<=\p{{Lu}}\.)(?:(?=[{CASED}])(?<={_NOT_IN_WORD}[{CASED}]\.)|(?<=z\.{_G}B\.)|"  # U.S, z. B.
+    rf"(?={_G}[\p{{Lu}}\p{{So}}<\[])(?<={_NOT_IN_WORD}\p{{Lu}}\.)(?<!App\.[\s~]{{1,3}}\p{{Lu}}\.))|"  # initials
+    r"(?<=[^\x00-\x7f]\.)(?<=(?:^|[\s(])(?:د|أ|डॉ|श्री|प्रो)\.)))"
 )
 
 _SHUT = f"[{_MARK}{_CLOSE}]"
@@ -198,7 +194,8 @@ def ends_marked(body_: Column) -> Column:
 
     Where a mark ends a paragraph too, there are two of them.
     """
-    masked = F.concat(_tiled(body_, TILES, _masked_tile), F.lit(BREAK))
+    # what no running text follows (the bibliography, the end) need not be looked at
+    masked = F.concat(F.rtrim(_tiled(body_, TILES, _masked_tile), F.lit(NOTHING + BREAK + " \t\r\n")), F.lit(BREAK))
     idle_quotes = _tiled(
         masked, _QUOTES, lambda t: F.when(t.rlike(f"^[{_OPEN}]"), F.regexp_replace(t, f"[{_MARK}]", MASKED)).otherwise(t)
     )
