@@ -1,0 +1,25 @@
+import os
+
+import duckdb
+import pytest
+
+from tapeline.llm import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    df = queries.QUERIES[name](spark, SF)
+    cursor = con.execute(queries.SQL[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+def test_query_without_sql_gives_rows(spark, name):
+    assert queries.QUERIES[name](spark, SF).limit(1).count() == 1
