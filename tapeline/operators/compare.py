@@ -12,7 +12,7 @@ from tapeline.functions.clean import plain_id, six_digits
 
 @dataclass(frozen=True)
 class Field:
-    """A field compared. ``tolerance``: numbers no farther apart are equal. ``unknown``: a value equal to any."""
+    """A field compared. ``tolerance``: numbers no farther apart are equal. ``unknown``: a value equal to any, to null too."""
 
     name: str
     tolerance: float | None = None
