@@ -104,7 +104,7 @@ _on_panel(
         "ic",
     ),
     f""", daily AS (SELECT session_date, avg(ic) AS ic FROM ({_ic('ret_5', 'label_5', _T, LEAST)}) GROUP BY ALL)
-SELECT 'ret_5' AS feature, {_SUMMARY.format('ic')} FROM daily WHERE ic IS NOT NULL""",
+SELECT feature, {_SUMMARY.format('ic')} FROM (SELECT *, 'ret_5' AS feature FROM daily) WHERE ic IS NOT NULL GROUP BY feature""",
 )
 _on_panel(
     "rank_ic_phases",

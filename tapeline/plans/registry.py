@@ -5,6 +5,6 @@ from __future__ import annotations
 from tapeline.plans import bars, book, flow, problems
 
 MODULES = (problems, flow, bars, book)
-FLAGSHIP = "rank_ic_summary"
+FLAGSHIP = "minute_flow"
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
