@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,3 +123,45 @@ def shuffled(panel: DataFrame, label: str, time: list[str], name: str, seed: str
     left = full.drop(label).withColumn("_i", ids)
     right = full.select(*time, F.col(label), drawn.alias("_i"))
     return left.join(right, [*time, "_i"]).drop("_i")
+
+
+def gram(panel: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """Sums of products of each pair of columns over complete rows, in one pass: what a linear fit needs of the data.
+
+    Columns: by, ``a``, ``b``, ``n``, ``product``; a pair comes once, with itself too.
+    """
+    full = panel
+    for c in columns:
+        full = full.where(F.col(c).isNotNull())
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    sums = full.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
+    return sums.select(
+        *by, "n", F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("product")) for a, b in pairs]))
+    )
+
+
+def walk_forward(panel: DataFrame, features: list[str], label: str, day: str, penalty: float, least: int) -> DataFrame:
+    """Ridge weights for each day from all days before it: day, ``feature``, ``weight``.
+
+    The sums of products are made a day at a time and run on over the days as a window, so each row of the data is read
+    once; only the solution of a system as large as the features is left to Python, a day a row.
+    """
+    columns = [*features, label]
+    ranked = panel.select(day, *[F.col(c) for c in columns])
+    sums = gram(ranked, columns, [day])
+    before = Window.partitionBy("a", "b").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    past = sums.withColumns({"_p": F.sum("product").over(before), "_n": F.sum("n").over(before)}).where(F.col("_n") >= least)
+    rows = past.groupBy(day).agg(F.max("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "a", "b"), "_p"))).alias("p"))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for when, n, p in zip(pdf[day], pdf["n"], pdf["p"], strict=True):
+                p = dict(p)
+                get = lambda a, b: p.get(f"{a}|{b}", p.get(f"{b}|{a}"))  # noqa: B023, E731
+                x = np.array([[get(a, b) for b in features] for a in features]) + np.eye(len(features)) * penalty * n
+                w = np.linalg.solve(x, np.array([get(a, label) for a in features]))
+                out += [(when, f, float(v)) for f, v in zip(features, w, strict=True)]
+            yield pd.DataFrame(out, columns=[day, "feature", "weight"])
+
+    return rows.mapInPandas(solve, f"`{day}` {dict(panel.dtypes)[day]}, feature string, weight double")

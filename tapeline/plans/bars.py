@@ -218,6 +218,24 @@ SELECT ticker, session_date, minute, round(CASE WHEN ok THEN sqrt(p / 2.77258872
 FROM rolled""",
 )
 
+_PAIRS = [("ret_5", "ret_5"), ("ret_5", "ret_15"), ("ret_5", "label_5"), ("ret_15", "ret_15"), ("ret_15", "label_5"), ("label_5", "label_5")]
+_on_panel(
+    "gram",
+    lambda p: evaluate.gram(p, ["ret_5", "ret_15", "label_5"], ["session_date"]),
+    ", full_ AS (SELECT * FROM panel WHERE ret_5 IS NOT NULL AND ret_15 IS NOT NULL AND label_5 IS NOT NULL) "
+    + " UNION ALL ".join(
+        f"SELECT session_date, count(*) AS n, '{a}' AS a, '{b}' AS b, round(sum({a} * {b}), 6) AS product FROM full_ GROUP BY session_date" for a, b in _PAIRS
+    ),
+)
+
+
+def walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge weights of two returns for each session from the sessions before it."""
+    return round_all(evaluate.walk_forward(panel(spark, d), ["ret_5", "ret_15"], "label_5", "session_date", 1e-6, 100))
+
+
+QUERIES["walk_forward"] = walk_forward
+
 
 def bars_quality(spark: SparkSession, d: str) -> DataFrame:
     return bars.quality(table(spark, d, "minute_bars"), table(spark, d, "sessions"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.functions.stats import round_all
 from tapeline.operators import changefeed, compare, grid, rolling, spikes
 from tapeline.sources.tables import table
 
@@ -42,20 +43,24 @@ def p3_state(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.upsert(changefeed.order_changes(feed), 2 * feed.count())
 
 
-def p5_strategies(spark: SparkSession, d: str) -> DataFrame:
-    """Totals and averages of each strategy's net over 7 and 30 days."""
+def _strategies(spark: SparkSession, d: str) -> DataFrame:
     daily = table(spark, d, "daily_s1")
     return rolling.rolling(rolling.daily_net(daily), "strat", "day", "net", (7, 30), daily.count())
 
 
+def p5_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and averages of each strategy's net over 7 and 30 days."""
+    return round_all(_strategies(spark, d), 4)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_strategies(spark, d).where("active = 0").select("strat", F.date_format("asof", "yyyyMMdd").alias("asof"), "span")
+    return _strategies(spark, d).where("active = 0").select("strat", F.date_format("asof", "yyyyMMdd").alias("asof"), "span")
 
 
 def p5_tickers(spark: SparkSession, d: str) -> DataFrame:
     """Totals and averages of each ticker's volume over 7 and 30 days."""
     bars = table(spark, d, "minute_bars")
-    return rolling.rolling(rolling.daily_volume(bars), "ticker", "day", "volume", (7, 30), bars.count() // 300)
+    return round_all(rolling.rolling(rolling.daily_volume(bars), "ticker", "day", "volume", (7, 30), bars.count() // 300), 4)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -138,6 +143,18 @@ SELECT g.ticker, g.open_ns + g.i * 60000000000 AS window_start
 FROM grid g ANTI JOIN usable u ON u.ticker = g.ticker AND u.open_ns = g.open_ns AND u.i = g.i""",
     "p3_found": f"WITH {_CHANGES} SELECT symbol, trade_date, sysid, seqno FROM state WHERE NOT deleted",
     "p3_state": f"WITH {_CHANGES} SELECT * FROM state",
+    "p5_strategies": f"""WITH {_DAYS} SELECT strat, asof_day AS "asof", span, round(total, 4) AS total, round(total / span, 4) AS average, active FROM rolled""",
+    "p5_tickers": f"""
+WITH stamps AS (
+  SELECT ticker, ns, volume FROM (SELECT *, {_NS} AS ns FROM minute_bars) WHERE ticker IS NOT NULL AND ns IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY ticker, ns ORDER BY loaded_at DESC, bar_id DESC) = 1),
+active AS (
+  SELECT ticker, make_timestamp(ns // 1000)::DATE AS day, sum(volume) AS net FROM stamps WHERE isfinite(volume) AND volume >= 0 GROUP BY ALL),
+spine AS (SELECT ticker, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS asof_day FROM active GROUP BY ticker),
+spans AS (SELECT unnest([7, 30])::BIGINT AS span)
+SELECT p.ticker, p.asof_day AS "asof", s.span, round(coalesce(sum(a.net), 0), 4) AS total, round(coalesce(sum(a.net), 0) / s.span, 4) AS average, count(a.net) AS active
+FROM spine p CROSS JOIN spans s LEFT JOIN active a ON a.ticker = p.ticker AND a.day <= p.asof_day AND a.day > p.asof_day - s.span::INTEGER
+GROUP BY p.ticker, p.asof_day, s.span""",
     "p5_found": f"WITH {_DAYS} SELECT strat, strftime(asof_day, '%Y%m%d') AS \"asof\", span FROM rolled WHERE active = 0",
     "p6_found": _diffs(
         "order_rows",
