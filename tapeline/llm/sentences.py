@@ -5,7 +5,8 @@ is the same place in the text:
 
 1. The body is tiled into plain runs and markup; markup is filled with placeholders of the
    private-use area: ``NOTHING`` (comments, labels), ``WORD`` (formulas, citations, commands)
-   and ``BREAK`` (headings, floats, list items). Of a displayed formula its closing mark stays.
+   and ``BREAK`` (headings, floats, list items); all but the first character of the first and last
+   kind is ``REST``, at which no later step need stop. Of a displayed formula its closing mark stays.
 2. Marks within a quotation whose sentence goes on, and those of decimals, abbreviations,
    initials, addresses and omissions, are masked.
 3. ``END`` is put in after the last character of each sentence: one that closes with a mark
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD, NOTHING, BREAK, MASKED, END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+WORD, NOTHING, REST, BREAK, MASKED, END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 
 # Marks, quotation marks and brackets of scripts beyond ASCII are brought to places side by side in the private-use area, and
 # blanks to the ASCII blank: a class of ASCII and one range is a few comparisons, one of scattered characters a long search.
@@ -103,8 +104,11 @@ _DISPLAY_TAIL = rf"[.?!{FULL_MARKS}][\s]*(?:\$\$|\\\]|\\end\{{[a-z]+\*?\}})$"
 _BREAKS = rf"^\\(?:(?:{HEADINGS}|item)(?![a-zA-Z])|begin\{{|end\{{(?!document\}}))"
 _SILENT = rf"^\\(?:(?:{SILENT}|iffalse|maketitle|tableofcontents|centering|newpage|clearpage|noindent|bigskip|medskip|smallskip)(?![a-zA-Z])|end\{{document\}})"
 
+#: The first two letters of the commands that _DISPLAY, _BREAKS and _SILENT know; all others are words.
+_STARTS = ("be", "en", "it", "se", "su", "pa", "ch", "ti", "au", "da", "la", "in", "bi", "vs", "hs", "us", "if", "ma", "ta", "ce", "ne", "cl", "no", "me", "sm")
+
 #: What shows that a sentence goes on after a quotation: a small letter, a comma, or a script without capitals.
-_GOES_ON = rf"(?=[\s{NOTHING}]*[\p{{Ll}},;:，、；]|[{CJK}]|\s*[{DEVANAGARI}])"
+_GOES_ON = rf"(?=[\s{NOTHING}{REST}]*[\p{{Ll}},;:，、；]|[{CJK}]|\s*[{DEVANAGARI}])"
 
 
 def _quotes() -> str:
@@ -129,7 +133,7 @@ _IDLE = (
     rf"(?<={_LETTERS}\.)(?<![a-z]{{7}}\.)(?:(?=\p{{N}})|"  # A.5
     rf"(?<={_NOT_IN_WORD}(?:{ALWAYS}|[ei]\.[eg]|\p{{Ll}})\.)|"
     rf"(?={_G}[\p{{N}}\p{{So}}<\[])(?<={_NOT_IN_WORD}(?:{NUMBERED})\.)|"
-    rf"(?=[\s~{NOTHING}]*[\p{{Ll}}\p{{N}},;:{WORD}])(?<={_NOT_IN_WORD}(?:{SOMETIMES})\.)|"
+    rf"(?=[\s~{NOTHING}{REST}]*[\p{{Ll}}\p{{N}},;:{WORD}])(?<={_NOT_IN_WORD}(?:{SOMETIMES})\.)|"
     rf"(?<=\p{{Lu}}\.)(?:(?=[{CASED}])(?<={_NOT_IN_WORD}[{CASED}]\.)|(?<=z\.{_G}B\.)|"  # U.S, z. B.
     rf"(?={_G}[\p{{Lu}}\p{{So}}<\[])(?<={_NOT_IN_WORD}\p{{Lu}}\.)(?<!App\.[\s~]{{1,3}}\p{{Lu}}\.))|"  # initials
     r"(?<=[^\x00-\x7f]\.)(?<=(?:^|[\s(])(?:د|أ|डॉ|श्री|प्रो)\.)))"
@@ -138,23 +142,27 @@ _IDLE = (
 _SHUT = f"[{_MARK}{_CLOSE}]"
 _TAIL = rf"{_SHUT}*+(?:\s{PLACES['»']}{_SHUT}*+)?+"
 _AFTER = rf"[\s{NOTHING}{BREAK}]"
+_UNSEEN = rf"[\s{NOTHING}-{BREAK}]"
+_SEEN = rf"[^\s{NOTHING}-{BREAK}]"
 #: The end of a sentence: as group 1 the mark that makes it and what closes with it, or as group 2 the blank or markup after its last character.
 _LAST = (
     # a mark that needs no blank after it
     rf"([{_FULL}]{_TAIL}|[.?!](?:(?<=[{CJK}][.?!]){_TAIL}|"
     # a mark before a blank, with no small letter after it
-    rf"{_TAIL}(?={_AFTER})(?![\s{NOTHING}]*\p{{Ll}})))|"
+    rf"{_TAIL}(?={_AFTER})(?![\s{NOTHING}{REST}]*\p{{Ll}})))|"
     # markup after the last visible character of a paragraph or item
-    rf"({BREAK}(?<=[^\s{NOTHING}{BREAK}]{BREAK})|"
+    rf"({BREAK}(?<={_SEEN}{BREAK})|"
     # blanks after it
-    rf"[\s{NOTHING}](?![!-~])(?<=[^\s{NOTHING}{BREAK}][\s{NOTHING}])(?:(?<=\n)(?=[ \t\r]*\n)|(?=[\s{NOTHING}]*(?:{BREAK}|\n[ \t\r]*\n))|"
+    rf"[\s{NOTHING}](?![!-~])(?<={_SEEN}[\s{NOTHING}])(?:(?<=\n)(?=[ \t\r]*\n)|(?=[\s{NOTHING}{REST}]*(?:{BREAK}|\n[ \t\r]*\n))|"
     # Thai before a blank
     rf"(?<=[ \t])(?:(?=[ \t]*[{THAI}])(?<=[{THAI}{WORD}\p{{N}}][ \t])|(?<=[{THAI}][ \t])(?=[ \t]*[{WORD}\p{{N}}]))))"
 )
 
 
 def _fill(t: Column, with_: str) -> Column:
-    return F.repeat(F.lit(with_), F.length(t))
+    if with_ == WORD:
+        return F.repeat(F.lit(WORD), F.length(t))
+    return F.concat(F.lit(with_), F.repeat(F.lit(REST), F.length(t) - 1))
 
 
 def _masked_tile(t: Column) -> Column:
@@ -166,13 +174,15 @@ def _masked_tile(t: Column) -> Column:
             F.repeat(F.lit(NOTHING), F.length(tail) - 1),
         )
     )
-    first = F.ascii(t)
+    first, second = F.ascii(t), F.substring(t, 2, 2)
     plain = F.when(F.octet_length(t) == F.length(t), t).otherwise(F.translate(t, _FROM, _TO))
     return (
         F.when(~first.isin(36, 37, 92), plain)
         .when(first == 37, _fill(t, NOTHING))
         .when(first == 36, F.when(F.startswith(t, F.lit("$$")), display).otherwise(_fill(t, WORD)))
-        .when(F.startswith(t, F.lit("\\[")) | t.rlike(_DISPLAY), display)
+        .when(F.startswith(t, F.lit("\\[")), display)
+        .when(~second.isin(*_STARTS), _fill(t, WORD))
+        .when((second == "be") & t.rlike(_DISPLAY), display)
         .when(t.rlike(_BREAKS), _fill(t, BREAK))
         .when(t.rlike(_SILENT), _fill(t, NOTHING))
         .otherwise(_fill(t, WORD))
@@ -195,7 +205,7 @@ def ends_marked(body_: Column) -> Column:
     Where a mark ends a paragraph too, there are two of them.
     """
     # what no running text follows (the bibliography, the end) need not be looked at
-    masked = F.concat(F.rtrim(_tiled(body_, TILES, _masked_tile), F.lit(NOTHING + BREAK + " \t\r\n")), F.lit(BREAK))
+    masked = F.concat(F.rtrim(_tiled(body_, TILES, _masked_tile), F.lit(NOTHING + REST + BREAK + " \t\r\n")), F.lit(BREAK))
     idle_quotes = _tiled(
         masked, _QUOTES, lambda t: F.when(t.rlike(f"^[{_OPEN}]"), F.regexp_replace(t, f"[{_MARK}]", MASKED)).otherwise(t)
     )
@@ -239,7 +249,7 @@ def sentences(documents: DataFrame) -> DataFrame:
 
     A sentence begins at the first character after the one before it that is neither blank nor markup that is no running text.
     """
-    lead = rf"^[\s{NOTHING}{BREAK}]*+"
+    lead = rf"^{_UNSEEN}*+"
     spans = _places(
         lambda at, part: F.struct(
             (at + F.length(F.regexp_extract(part, lead, 0))).alias("start_pos"), (at + F.length(part) - 1).alias("end_pos")
