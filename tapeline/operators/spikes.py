@@ -3,6 +3,7 @@
 A series is one field of one source in order. It is cut into tiles of about
 ``TILE`` rows by its order column, each with ``HALO`` rows of its neighbours, and
 tiles are hashed into groups, so no series, however long, comes into one task.
+Sizes are seen against the median of the whole series, which Spark counts before.
 
 Pass 1 finds, per tile, the candidates: readings outside robust ellipsoids over
 value, first and second difference, taken out one round after another until none
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tapeline.functions.clean import bar_ns
+from tapeline.functions.clean import bar_ns, finite
 from tapeline.operators.sessions import in_session
 from tapeline.session import buckets
 
@@ -51,17 +52,19 @@ def rolling_median(x: np.ndarray, around: int) -> np.ndarray:
     return out
 
 
-def deviations(x: np.ndarray, how: str) -> tuple[np.ndarray, np.ndarray]:
+def deviations(x: np.ndarray, how: str, usual: float = np.nan) -> tuple[np.ndarray, np.ndarray]:
     """How far out each usable reading lies, in the terms of ``how``, and what phase space it is seen in.
 
     ``level``: distance from the level around it. ``size``: its size against the
     series' median, upwards. ``around``: its size against the level around it, upwards,
-    where the level is at least the median of the sizes above zero.
+    where the level is at least the median of the sizes above zero. ``usual`` is that
+    median over the whole series; NaN if ``x`` is the whole series.
     """
     if how == "level":
         signal = x - rolling_median(x, AROUND)
         return np.abs(signal), signal
-    usual = np.median(x[x > 0]) if (x > 0).any() else 1.0
+    if np.isnan(usual):
+        usual = np.median(x[x > 0]) if (x > 0).any() else 1.0
     base = usual if how == "size" else np.maximum(rolling_median(x, AROUND), usual)
     return x / base, np.log1p(x / base) - np.log(2.0)
 
@@ -130,7 +133,7 @@ RULES = {
 }
 
 
-def _look(x: np.ndarray, rule: Rule):
+def _look(x: np.ndarray, rule: Rule, usual: float):
     """Usable readings of a tile with halos: their places, deviations, which are candidates, and the least deviation that counts.
 
     For levels that is the smallest step between readings (a price's tick), which rounding noise does not make.
@@ -139,7 +142,7 @@ def _look(x: np.ndarray, rule: Rule):
     y = x[at]
     if not len(y):
         return at, y, np.zeros(0, bool), 0.0
-    dev, signal = deviations(y, rule.how)
+    dev, signal = deviations(y, rule.how, usual)
     if rule.how == "level":
         steps = np.abs(np.diff(y))
         steps = steps[steps > 1e-6 * np.median(y)]
@@ -151,7 +154,7 @@ def _look(x: np.ndarray, rule: Rule):
 
 def _summary(pdf: pd.DataFrame, rule: Rule) -> dict:
     x, own = pdf["value"].to_numpy("float64"), pdf["own"].to_numpy(bool)
-    at, dev, out, least = _look(x, rule)
+    at, dev, out, least = _look(x, rule, float(pdf["usual"].iloc[0]))
     mine = own[at]
     usual = dev[~out & mine]
     b, n = np.unique(_bin(dev[out & mine]), return_counts=True)
@@ -217,7 +220,7 @@ def merge(tiles: list[dict], rule: Rule, times: float) -> tuple[float, list[tupl
 def _flags(pdf: pd.DataFrame, rule: Rule, threshold: float, stuck: int, goes_on: bool, back: int) -> np.ndarray:
     x, own = pdf["value"].to_numpy("float64"), pdf["own"].to_numpy(bool)
     bad = ~usable(x, rule.positive)
-    at, dev, out, _ = _look(x, rule)
+    at, dev, out, _ = _look(x, rule, float(pdf["usual"].iloc[0]))
     far = out & (dev > threshold)
     if far.any():
         starts = np.flatnonzero(far & ~np.r_[False, far[:-1]])
@@ -253,15 +256,21 @@ def spikes(readings: DataFrame, rows: int, times: float = 3.0, back: int = 3) ->
     Null values are no readings. NaN and infinities are readings out of bounds. Ties of ``ord`` go by
     ``row_id``. Returns src, row_id, field, source, block, value, one row a case; an empty table gives none.
     """
-    x = readings.where(F.col("value").isNotNull())
+    x = readings.where(" AND ".join(f"{c} IS NOT NULL" for c in ("value", *SERIES)))
     span = x.groupBy(*SERIES).agg(
-        F.min("ord").alias("_lo"), (F.max("ord") - F.min("ord") + 1).alias("_span"), F.ceil(F.count("*") / TILE).alias("_tiles")
+        F.min("ord").alias("_lo"),
+        (F.max("ord") - F.min("ord") + 1).alias("_span"),
+        F.ceil(F.count("*") / TILE).alias("_tiles"),
+        F.count_if(_sizes()).alias("_sizes"),
     )
-    tiled = x.join(span, SERIES).withColumn(
+    many_tiles = F.broadcast(span.where("_tiles > 1"))  # no more than a row for TILE readings
+    tiled = x.join(F.broadcast(_with_usual(x, many_tiles)), SERIES).withColumn(
         "tile", F.least(F.floor((F.col("ord") - F.col("_lo")) / F.col("_span") * F.col("_tiles")), F.col("_tiles") - 1).cast("int")
     )
-    short = tiled.where("_tiles = 1").select(*SERIES, "ord", "row_id", "value", "tile", F.lit(True).alias("own"))
-    long = _with_halos(tiled.where("_tiles > 1"))
+    short = x.join(many_tiles, SERIES, "left_anti").select(
+        *SERIES, "ord", "row_id", "value", F.lit(None).cast("double").alias("usual"), F.lit(0).alias("tile"), F.lit(True).alias("own")
+    )
+    long = _with_halos(tiled)
     many = buckets(rows, 4 * TILE, 12)
     grouped = short.unionByName(long).withColumn("grp", F.pmod(F.xxhash64(*SERIES, "tile"), F.lit(many)).cast("int"))
 
@@ -308,6 +317,21 @@ def spikes(readings: DataFrame, rows: int, times: float = 3.0, back: int = 3) ->
     return grouped.groupBy("grp").cogroup(context.groupBy("grp")).applyInPandas(second, CASES)
 
 
+def _sizes() -> Column:
+    """Usable readings above zero of the fields whose deviations are sizes."""
+    fields = [f"{src}.{field}" for (src, field), rule in RULES.items() if rule.how != "level"]
+    return F.concat_ws(".", "src", "field").isin(fields) & finite(F.col("value")) & (F.col("value") > 0)
+
+
+def _with_usual(x: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` with ``usual``, the exact median of a series' sizes above zero: counts of its values, added up in their order."""
+    counts = x.where(_sizes()).join(spans.select(*SERIES, "_sizes"), SERIES).groupBy(*SERIES, "_sizes", "value").agg(F.count("*").alias("_n"))
+    below = F.sum("_n").over(W.partitionBy(*SERIES).orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    middle = [F.min(F.when(F.expr(f"_below > {k} DIV 2"), F.col("value"))) for k in ("(_sizes - 1)", "_sizes")]
+    usual = counts.withColumn("_below", below).groupBy(*SERIES).agg(((middle[0] + middle[1]) / 2).alias("usual"))
+    return spans.join(usual, SERIES, "left").withColumn("usual", F.coalesce("usual", F.lit(1.0)))
+
+
 def _with_halos(tiled: DataFrame) -> DataFrame:
     """Each tile with up to ``HALO`` rows of the tiles beside it, marked as not its own."""
     w = W.partitionBy(*SERIES, "tile")
@@ -324,7 +348,7 @@ def _with_halos(tiled: DataFrame) -> DataFrame:
             ),
         )
     )
-    return ranked.select(*SERIES, "ord", "row_id", "value", F.inline(places))
+    return ranked.select(*SERIES, "ord", "row_id", "value", "usual", F.inline(places))
 
 
 def table_readings(lob_records: DataFrame, minute_bars: DataFrame, sessions: DataFrame) -> DataFrame:

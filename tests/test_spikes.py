@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tapeline.operators import spikes
 
@@ -60,6 +61,30 @@ def test_tiles_change_nothing(spark, monkeypatch):
     assert found(spark, rows) == whole
 
 
+def test_tiles_change_nothing_for_sizes_that_drift(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    sizes = np.round(100 * 30 ** (np.arange(3000) / 3000) * np.exp(rng.normal(0, 0.2, 3000)))
+    lob, bars = sizes.copy(), sizes.copy()
+    lob[400:440] = np.round(200 * 15 ** (np.arange(40) / 39))  # usual sizes of the series, far above those of this tile
+    lob[[150, 1500, 2900]] = 60_000.0
+    bars[[60, 200]] = 1500.0  # above the minutes around, but not above the usual size
+    bars[[150, 1500, 2900]] = 90_000.0
+    rows = series(lob, field="volume") + series(bars, "minute_bars", "volume", "t")
+    whole = found(spark, rows)
+    assert whole == [(s, i) for s in "st" for i in (150, 1500, 2900)]
+    monkeypatch.setattr(spikes, "TILE", 300)
+    assert found(spark, rows) == whole
+
+
+def test_usual_size_is_the_median_of_the_series(spark):
+    rng = np.random.default_rng(9)
+    for n in (500, 501):
+        x = np.r_[rng.integers(1, 40, n).astype(float), 0.0, -5.0, np.inf, np.nan]
+        df = spark.createDataFrame(series(x, field="volume"), SCHEMA)
+        spans = df.groupBy(*spikes.SERIES).agg(F.count_if(spikes._sizes()).alias("_sizes"))
+        assert spikes._with_usual(df, spans).first()["usual"] == np.median(x[:n])
+
+
 def test_candidates_are_symmetric_in_sign():
     x = np.random.default_rng(0).normal(size=300)
     x[100] = 30
