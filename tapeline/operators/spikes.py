@@ -175,9 +175,9 @@ def _summary(pdf: pd.DataFrame, rule: Rule) -> dict:
     }
 
 
-def merge(tiles: list[dict], rule: Rule, times: float) -> tuple[float, list[tuple[int, bool, bool]]]:
+def merge(tiles: list[dict], rule: Rule, times: float) -> tuple[float, list[tuple[int, bool, str]]]:
     """The threshold of a series, and for each tile the length of the stuck run (0: none of it here), whether
-    the run is the tile's first and goes on from the tile before, and whether it is one of the tile's inner runs.
+    it goes on from the tile before, and which run of the tile it is: ``first``, ``inner`` or ``last``.
 
     The threshold is the widest usual deviation times ``times``, after all candidates have been taken in, from the
     smallest up, that lie within it.
@@ -206,18 +206,18 @@ def merge(tiles: list[dict], rule: Rule, times: float) -> tuple[float, list[tupl
             if first and t["runs"] > 1:
                 whole += [[n, [(k, "inner")], False, np.nan] for n in t["inner"]]
     order = sorted(range(len(whole)), key=lambda i: -whole[i][0])
-    stuck: list[tuple[int, bool, bool]] = [(0, False, False)] * len(tiles)
+    stuck: list[tuple[int, bool, str]] = [(0, False, "")] * len(tiles)
     if order:
         top = whole[order[0]]
         second = whole[order[1]][0] if len(order) > 1 else 0
         if top[0] >= rule.stuck and top[0] >= 3 * second:
             for j, (k, where) in enumerate(top[1]):
                 own = tiles[k]["edge_lengths"][0] if where == "first" else tiles[k]["edge_lengths"][-1] if where == "last" else top[0]
-                stuck[k] = (int(own), j > 0, where == "inner")
+                stuck[k] = (int(own), j > 0, where)
     return times * widest, stuck
 
 
-def _flags(pdf: pd.DataFrame, rule: Rule, threshold: float, stuck: int, goes_on: bool, back: int) -> np.ndarray:
+def _flags(pdf: pd.DataFrame, rule: Rule, threshold: float, stuck: int, goes_on: bool, where: str, back: int) -> np.ndarray:
     x, own = pdf["value"].to_numpy("float64"), pdf["own"].to_numpy(bool)
     bad = ~usable(x, rule.positive)
     at, dev, out, _ = _look(x, rule, float(pdf["usual"].iloc[0]))
@@ -231,9 +231,10 @@ def _flags(pdf: pd.DataFrame, rule: Rule, threshold: float, stuck: int, goes_on:
     if stuck:
         rows = np.flatnonzero(own)
         starts, lengths = _runs(x[rows])
-        k = int(np.argmax((lengths == stuck) & (rule.zero_runs | (x[rows[starts]] != 0))))
-        if goes_on:
-            k = 0
+        if where == "inner":
+            k = int(np.argmax((lengths == stuck) & (rule.zero_runs | (x[rows[starts]] != 0))))
+        else:
+            k = 0 if where == "first" else len(lengths) - 1
         bad[rows[starts[k] + (not goes_on) : starts[k] + lengths[k]]] = True
     return bad & own
 
@@ -242,7 +243,7 @@ SUMMARY = (
     "src string, source string, block string, field string, tile int, grp int, widest double, least double,"
     " bins array<long>, edge_values array<double>, edge_lengths array<long>, runs int, inner array<long>"
 )
-CONTEXT = "src string, source string, block string, field string, tile int, grp int, threshold double, stuck int, goes_on boolean"
+CONTEXT = "src string, source string, block string, field string, tile int, grp int, threshold double, stuck int, goes_on boolean, place string"
 CASES = "src string, row_id long, field string, source string, block string, value double"
 
 
@@ -294,7 +295,7 @@ def spikes(readings: DataFrame, rows: int, times: float = 3.0, back: int = 3) ->
                 tiles = [{k: t[k] for k in _names(SUMMARY)[4:]} for t in tiles]
                 threshold, stuck = merge(tiles, RULES[key[0], key[3]], times)
                 out += [
-                    (*key, t["tile"], t["grp"], threshold, s[0], s[1]) for t, s in zip(tiles, stuck, strict=True)
+                    (*key, t["tile"], t["grp"], threshold, *s) for t, s in zip(tiles, stuck, strict=True)
                 ]
             yield pd.DataFrame(out, columns=_names(CONTEXT))
 
@@ -302,8 +303,8 @@ def spikes(readings: DataFrame, rows: int, times: float = 3.0, back: int = 3) ->
         known = {tuple(r[:5]): r[6:] for r in context.itertuples(index=False)}
         found = [pd.DataFrame(columns=_names(CASES))]
         for key, part in each(pdf):
-            threshold, stuck, goes_on = known[key]
-            flagged = part[_flags(part, RULES[key[0], key[3]], threshold, stuck, goes_on, back)]
+            threshold, stuck, goes_on, where = known[key]
+            flagged = part[_flags(part, RULES[key[0], key[3]], threshold, stuck, goes_on, where, back)]
             if len(flagged):
                 found.append(flagged[_names(CASES)])
         return pd.concat(found[1:] or found)

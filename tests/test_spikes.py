@@ -61,6 +61,17 @@ def test_tiles_change_nothing(spark, monkeypatch):
     assert found(spark, rows) == whole
 
 
+def test_stuck_run_with_few_rows_before_the_border(spark, monkeypatch):
+    rows = []
+    for before in (1, 2, 3):
+        x = calm(1200, 11) + np.arange(1200) % 2 * 0.001  # no equal neighbours
+        x[330 : 330 + before] = 50.3  # an earlier run of the tile as long as the part before the border
+        x[600 - before : 640] = 50.5
+        rows += series(x, source=str(before))
+    monkeypatch.setattr(spikes, "TILE", 300)
+    assert found(spark, rows) == [(str(before), i) for before in (1, 2, 3) for i in range(601 - before, 640)]
+
+
 def test_tiles_change_nothing_for_sizes_that_drift(spark, monkeypatch):
     rng = np.random.default_rng(8)
     sizes = np.round(100 * 30 ** (np.arange(3000) / 3000) * np.exp(rng.normal(0, 0.2, 3000)))
