@@ -1,8 +1,7 @@
 """Implausible readings: phase-space thresholding, runs of stuck values, bounds.
 
-A series is one field of one source in order. It is cut into tiles of about
-``TILE`` rows by its order column, each with ``HALO`` rows of its neighbours, and
-tiles are hashed into groups, so no series, however long, comes into one task.
+A series is one field of one source in order. It is cut by rank into tiles of at
+most ``TILE`` rows, each with ``HALO`` rows of its neighbours, and tiles are hashed into groups, so no series, however long, comes into one task.
 Sizes are seen against the median of the whole series, which Spark counts before.
 
 Pass 1 finds, per tile, the candidates: readings outside robust ellipsoids over
@@ -259,19 +258,13 @@ def spikes(readings: DataFrame, rows: int, times: float = 3.0, back: int = 3) ->
     """
     x = readings.where(" AND ".join(f"{c} IS NOT NULL" for c in ("value", *SERIES)))
     span = x.groupBy(*SERIES).agg(
-        F.min("ord").alias("_lo"),
-        (F.max("ord") - F.min("ord") + 1).alias("_span"),
-        F.ceil(F.count("*") / TILE).alias("_tiles"),
-        F.count_if(_sizes()).alias("_sizes"),
-    )
-    many_tiles = F.broadcast(span.where("_tiles > 1"))  # no more than a row for TILE readings
-    tiled = x.join(F.broadcast(_with_usual(x, many_tiles)), SERIES).withColumn(
-        "tile", F.least(F.floor((F.col("ord") - F.col("_lo")) / F.col("_span") * F.col("_tiles")), F.col("_tiles") - 1).cast("int")
+        F.min("ord").alias("_lo"), F.max("ord").alias("_hi"), F.count("*").alias("_rows"), F.count_if(_sizes()).alias("_sizes")
     )
+    many_tiles = F.broadcast(span.where(F.col("_rows") > TILE))  # no more than a row for TILE readings
     short = x.join(many_tiles, SERIES, "left_anti").select(
         *SERIES, "ord", "row_id", "value", F.lit(None).cast("double").alias("usual"), F.lit(0).alias("tile"), F.lit(True).alias("own")
     )
-    long = _with_halos(tiled)
+    long = _with_halos(_ranked(x.join(F.broadcast(_with_usual(x, many_tiles)), SERIES)))
     many = buckets(rows, 4 * TILE, 12)
     grouped = short.unionByName(long).withColumn("grp", F.pmod(F.xxhash64(*SERIES, "tile"), F.lit(many)).cast("int"))
 
@@ -333,23 +326,47 @@ def _with_usual(x: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(usual, SERIES, "left").withColumn("usual", F.coalesce("usual", F.lit(1.0)))
 
 
-def _with_halos(tiled: DataFrame) -> DataFrame:
-    """Each tile with up to ``HALO`` rows of the tiles beside it, marked as not its own."""
-    w = W.partitionBy(*SERIES, "tile")
-    ranked = tiled.withColumn("_f", F.row_number().over(w.orderBy("ord", "row_id"))).withColumn(
-        "_b", F.row_number().over(w.orderBy(F.desc("ord"), F.desc("row_id")))
-    )
+def _cell(lo: str, hi: str, rows: str) -> Column:
+    """One of the equal ranges of ``ord`` from ``lo`` to ``hi``, four for each ``TILE`` of ``rows``; doubles, as far-off values overflow."""
+    lo, hi, at = (F.col(c).cast("double") for c in (lo, hi, "ord"))
+    cells = F.ceil(F.col(rows) * 4 / TILE)
+    return F.least(F.floor((at - lo) / (hi - lo + 1.0) * cells), cells - 1)
+
+
+def _ranked(long: DataFrame) -> DataFrame:
+    """``long`` with ``_rank``, the exact place of a row in its series by ord and row_id.
+
+    Ranges of ord are cut again between their own least and greatest, so one far-off value or a narrow stretch is
+    spread too; rows are ranked in a range by a sort that spills, whatever it holds, and the ranges' counts added up.
+    """
+    first = long.withColumn("_c", _cell("_lo", "_hi", "_rows"))
+    inner = first.groupBy(*SERIES, "_c").agg(F.min("ord").alias("_clo"), F.max("ord").alias("_chi"), F.count("*").alias("_crows"))
+    cut = first.join(inner, [*SERIES, "_c"]).withColumn("_d", _cell("_clo", "_chi", "_crows"))
+    before = W.partitionBy(*SERIES).orderBy("_c", "_d").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut.groupBy(*SERIES, "_c", "_d").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(W.partitionBy(*SERIES, "_c", "_d").orderBy("ord", "row_id"))
+    return cut.withColumn("_place", place).join(starts, [*SERIES, "_c", "_d"]).withColumn("_rank", F.col("_start") + F.col("_place") - 1)
+
+
+def _with_halos(ranked: DataFrame) -> DataFrame:
+    """Each tile with up to ``HALO`` rows of the tiles beside it, marked as not its own; tiles of a series are alike to a row."""
+    tiled = ranked.withColumn("_tiles", F.ceil(F.col("_rows") / TILE)).withColumn("_tile", F.expr("_rank * _tiles DIV _rows"))
+    start = lambda t: F.expr(f"({t} * _rows + _tiles - 1) DIV _tiles")
     places = F.array_compact(
         F.array(
-            F.struct(F.col("tile").alias("tile"), F.lit(True).alias("own")),
-            F.when((F.col("_f") <= HALO) & (F.col("tile") > 0), F.struct((F.col("tile") - 1).alias("tile"), F.lit(False).alias("own"))),
+            F.struct(F.col("_tile").cast("int").alias("tile"), F.lit(True).alias("own")),
+            F.when(
+                (F.col("_rank") < start("_tile") + HALO) & (F.col("_tile") > 0),
+                F.struct((F.col("_tile") - 1).cast("int").alias("tile"), F.lit(False).alias("own")),
+            ),
             F.when(
-                (F.col("_b") <= HALO) & (F.col("tile") < F.col("_tiles") - 1),
-                F.struct((F.col("tile") + 1).alias("tile"), F.lit(False).alias("own")),
+                (F.col("_rank") >= start("(_tile + 1)") - HALO) & (F.col("_tile") < F.col("_tiles") - 1),
+                F.struct((F.col("_tile") + 1).cast("int").alias("tile"), F.lit(False).alias("own")),
             ),
         )
     )
-    return ranked.select(*SERIES, "ord", "row_id", "value", "usual", F.inline(places))
+    return tiled.select(*SERIES, "ord", "row_id", "value", "usual", F.inline(places))
 
 
 def table_readings(lob_records: DataFrame, minute_bars: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -72,6 +72,37 @@ def test_stuck_run_with_few_rows_before_the_border(spark, monkeypatch):
     assert found(spark, rows) == [(str(before), i) for before in (1, 2, 3) for i in range(601 - before, 640)]
 
 
+def test_tiles_are_cut_by_rank(spark, monkeypatch):
+    """A far-off place, a narrow stretch, and many rows of one place: tiles bounded, each with rows of its true neighbours."""
+    monkeypatch.setattr(spikes, "TILE", 100)
+    places = [*range(0, 700, 2), *[700] * 230, *range(10**6, 10**6 + 120), 2**62]
+    order = np.random.default_rng(4).permutation(len(places))
+    rows = [("lob_records", "s", "d", "price", places[i], int(i), 50.0) for i in order]
+    long = spark.createDataFrame(rows, SCHEMA)
+    spans = long.groupBy(*spikes.SERIES).agg(F.min("ord").alias("_lo"), F.max("ord").alias("_hi"), F.count("*").alias("_rows"))
+    ranked = spikes._ranked(long.join(spans, spikes.SERIES).withColumn("usual", F.lit(None).cast("double")))
+    assert [r["row_id"] for r in ranked.orderBy("_rank").collect()] == list(range(len(places)))
+    tiles = {}
+    for r in spikes._with_halos(ranked).collect():
+        tiles.setdefault(r["tile"], {})[r["row_id"]] = r["own"]
+    assert sorted(tiles) == list(range(8))
+    for t in tiles.values():
+        own = sorted(i for i in t if t[i])
+        assert 80 <= len(own) <= 100
+        assert sorted(t) == list(range(max(own[0] - spikes.HALO, 0), min(own[-1] + spikes.HALO, len(places) - 1) + 1))
+
+
+def test_uneven_places_change_nothing(spark, monkeypatch):
+    x = calm(900, 6)
+    x[[100, 301, 650]] += 4
+    x[899] -= 4
+    rows = [(*r[:4], r[4] if i < 895 else 10**15 + i, *r[5:]) for i, r in enumerate(series(x))]
+    whole = found(spark, rows)
+    assert whole == [("s", i) for i in (100, 301, 650, 899)]
+    monkeypatch.setattr(spikes, "TILE", 300)
+    assert found(spark, rows) == whole
+
+
 def test_tiles_change_nothing_for_sizes_that_drift(spark, monkeypatch):
     rng = np.random.default_rng(8)
     sizes = np.round(100 * 30 ** (np.arange(3000) / 3000) * np.exp(rng.normal(0, 0.2, 3000)))
