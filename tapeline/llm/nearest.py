@@ -34,12 +34,21 @@ QUALIFY row_number() OVER (PARTITION BY name ORDER BY apart, seqno) = 1
 """
 
 
+def first_of_tick(candidates: DataFrame) -> DataFrame:
+    """Of the candidates of a symbol, day and tick the one with the smallest ``seqno``, null last; combined where they are read."""
+    first = F.min(F.struct(F.col("seqno").isNull().alias("none"), "seqno", "sysid"))
+    return candidates.groupBy("symbol", "trade_date", "ticks").agg(first.alias("_first")).select(
+        "symbol", "trade_date", "ticks", "_first.seqno", "_first.sysid"
+    )
+
+
 def nearest(wanted: DataFrame, candidates: DataFrame, tolerance: int, rows: int) -> DataFrame:
     """For each of ``wanted`` (name, symbol, trade_date, ticks) the candidate (symbol, trade_date, ticks, seqno, sysid)
     nearest in time, at most ``tolerance`` ticks away on either side; at equal distance the smaller ``seqno``.
 
     ``name`` is unique. Rows with a null symbol, date or time match nothing; what matches nothing has no row. Candidates
-    within the tolerance of a slice's end are sent to the next slice as well, so a pair never spans two groups.
+    within the tolerance of a slice's end are sent to the next slice as well, so a pair never spans two groups. Of the
+    candidates of one tick only the one with the smallest ``seqno`` is sent; a slice has no more of them than ticks.
     ``rows`` sizes the groups. Columns: name, sysid, seqno, apart (ticks).
     """
     if tolerance >= SLICE:
@@ -49,7 +58,7 @@ def nearest(wanted: DataFrame, candidates: DataFrame, tolerance: int, rows: int)
     many = F.lit(buckets(rows, PER_GROUP, 12))
     group = F.pmod(F.xxhash64("symbol", "trade_date", "slice"), many).cast("int").alias("grp")
     left = wanted.where(known).select("name", "symbol", "trade_date", piece(F.col("ticks")).alias("slice"), "ticks")
-    right = candidates.where(known).select(
+    right = first_of_tick(candidates.where(known)).select(
         "symbol",
         "trade_date",
         F.explode(F.array_distinct(F.array(*[piece(F.col("ticks") + d) for d in (-tolerance, 0, tolerance)]))).alias("slice"),

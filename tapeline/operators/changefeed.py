@@ -75,6 +75,11 @@ def order_changes(feed: DataFrame) -> DataFrame:
     )
 
 
+def distinct_changes(changes: DataFrame) -> DataFrame:
+    """Each change once, with the greatest volume of its copies."""
+    return changes.groupBy("symbol", "trade_date", "sysid", "seqno", "actiontype").agg(F.max("volume").alias("volume"))
+
+
 def upsert(changes: DataFrame, rows: int) -> DataFrame:
     """The state of each key after all its ``changes``, tombstones included; ``rows`` sizes the buckets.
 
@@ -82,9 +87,10 @@ def upsert(changes: DataFrame, rows: int) -> DataFrame:
     counts. Deductions of keys without an insert before them do nothing. ``seqno`` is that of the last change that
     touched the key if it lives; ``left_over`` is what is left of ``volume``.
 
-    Buckets hash the whole key, so the rows of one hot symbol or day spread over all of them.
+    Buckets hash the whole key, so the rows of one hot symbol or day spread over all of them. Copies of a change
+    become one before, combined where they are read; the different changes of one key stay in one bucket.
     """
-    grouped = changes.withColumn(
+    grouped = distinct_changes(changes).withColumn(
         "bucket", F.pmod(F.xxhash64("symbol", "trade_date", "sysid"), F.lit(buckets(rows, PER_BUCKET, 12))).cast("int")
     )
 

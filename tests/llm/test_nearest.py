@@ -41,6 +41,13 @@ def test_equal_distance_takes_the_smaller_seqno(spark):
     assert run(spark, [], points) == [] == run(spark, [("v", "a", "d", 200, 0)], [])
 
 
+def test_one_candidate_of_a_tick_is_sent(spark):
+    points = [("a", "d", 100, seqno, 10 * seqno, None) for seqno in [9, 4, 6] * 50] + [("a", "d", 100, None, 1, None)]
+    sent = nearest.first_of_tick(spark.createDataFrame(points, POINTS)).collect()
+    assert [(r.ticks, r.seqno, r.sysid) for r in sent] == [(100, 4, 40)]
+    assert run(spark, [("v", "a", "d", 200, 0)], points) == [("v", 40)]
+
+
 def test_spellings_and_missing_clocks(spark):
     specs = [
         ("v1", "sz", " 1 ", "20200101", "36000000.5", None, None), ("v2", "SZ", "000001", "20200101", "10:00:00.0005", 36000.0005, None),

@@ -67,6 +67,14 @@ def test_tombstones_unknown_orders_nulls_and_empty(spark):
     assert run(spark, []) == []
 
 
+def test_copies_of_one_change_become_one_and_the_greatest_volume_counts(spark):
+    rows = [(i, "a", "d", 1, 0, 7, 0, 0, volume, None) for i, volume in enumerate([100, 300, 200] * 40)]
+    rows += [(i, "a", "d", 2, 1, 7, 0, 0, volume, None) for i, volume in enumerate([10, 40, 20] * 40)]
+    changes = changefeed.order_changes(spark.createDataFrame(rows, FEED).repartition(3))
+    assert changefeed.distinct_changes(changes).count() == 2
+    assert [(r.volume, r.left_over) for r in changefeed.upsert(changes, 1).collect()] == [(300, 260)]
+
+
 def test_publish_replaces_whole_states(spark, tmp_path):
     path = str(tmp_path / "state")
     for n in (3, 5):
