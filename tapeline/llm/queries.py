@@ -41,8 +41,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    ends = sentences.sentence_ends(table(spark, d, "documents"))
-    return ends.select("doc_id", F.explode("ends").alias("end_pos"))
+    return sentences.end_rows(table(spark, d, "documents"))
 
 
 def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
