@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD, NOTHING, REST, BREAK, MASKED, END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
+WORD, REST, NOTHING, BREAK, MASKED, END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 
 # Marks, quotation marks and brackets of scripts beyond ASCII are brought to places side by side in the private-use area, and
 # blanks to the ASCII blank: a class of ASCII and one range is a few comparisons, one of scattered characters a long search.
@@ -123,6 +123,15 @@ def _quotes() -> str:
 _QUOTES = _quotes()
 
 _LETTERS = f"[^\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f{WORD}-\ue0ff]"
+
+
+def _before_dot(words: str) -> str:
+    """One of the words, whole, before a dot. Words of one length share a lookbehind, which is tried at one place only."""
+    plain = [w for word in words.split("|") for w in ((word[:-2], word[:-1]) if word.endswith("?") else (word,))]
+    lengths = sorted({len(w) for w in plain})
+    return "|".join(rf"(?<={_NOT_IN_WORD}(?:{'|'.join(w for w in plain if len(w) == n)})\.)" for n in lengths)
+
+
 #: Marks that end nothing. The dot is looked for once; what stands right before it decides which rules are tried, and of
 #: those with a condition on what follows that comes first.
 _IDLE = (
@@ -131,10 +140,10 @@ _IDLE = (
     rf"(?<=(?:[AI]m|[Vv]om|[Zz]um|[Bb]eim|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Dd]em)\s{{1,3}}\p{{N}}{{1,2}}\.))|"  # Am 3. Mai
     # no abbreviation is longer than six letters
     rf"(?<={_LETTERS}\.)(?<![a-z]{{7}}\.)(?:(?=\p{{N}})|"  # A.5
-    rf"(?<={_NOT_IN_WORD}(?:{ALWAYS}|[ei]\.[eg]|\p{{Ll}})\.)|"
-    rf"(?={_G}[\p{{N}}\p{{So}}<\[])(?<={_NOT_IN_WORD}(?:{NUMBERED})\.)|"
-    rf"(?=[\s~{NOTHING}{REST}]*[\p{{Ll}}\p{{N}},;:{WORD}])(?<={_NOT_IN_WORD}(?:{SOMETIMES})\.)|"
-    rf"(?<=\p{{Lu}}\.)(?:(?=[{CASED}])(?<={_NOT_IN_WORD}[{CASED}]\.)|(?<=z\.{_G}B\.)|"  # U.S, z. B.
+    rf"(?<={_NOT_IN_WORD}\p{{Ll}}\.)|(?<={_NOT_IN_WORD}[ei]\.[eg]\.)|{_before_dot(ALWAYS)}|"
+    rf"(?={_G}[\p{{N}}\p{{So}}<\[])(?:{_before_dot(NUMBERED)})|"
+    rf"(?=[\s~{NOTHING}{REST}]*[\p{{Ll}}\p{{N}},;:{WORD}])(?:{_before_dot(SOMETIMES)})|"
+    rf"(?<=\p{{Lu}}\.)(?:(?=[{CASED}])(?<={_NOT_IN_WORD}[{CASED}]\.)|(?<=B\.)(?<=z\.{_G}B\.)|"  # U.S, z. B.
     rf"(?={_G}[\p{{Lu}}\p{{So}}<\[])(?<={_NOT_IN_WORD}\p{{Lu}}\.)(?<!App\.[\s~]{{1,3}}\p{{Lu}}\.))|"  # initials
     r"(?<=[^\x00-\x7f]\.)(?<=(?:^|[\s(])(?:د|أ|डॉ|श्री|प्रो)\.)))"
 )
@@ -142,20 +151,22 @@ _IDLE = (
 _SHUT = f"[{_MARK}{_CLOSE}]"
 _TAIL = rf"{_SHUT}*+(?:\s{PLACES['»']}{_SHUT}*+)?+"
 _AFTER = rf"[\s{NOTHING}{BREAK}]"
-_UNSEEN = rf"[\s{NOTHING}-{BREAK}]"
-_SEEN = rf"[^\s{NOTHING}-{BREAK}]"
-#: The end of a sentence: as group 1 the mark that makes it and what closes with it, or as group 2 the blank or markup after its last character.
+_UNSEEN = rf"[\s{REST}-{BREAK}]"
+_SEEN = rf"[^\s{REST}-{BREAK}]"
+#: The end of a sentence: as group 2 the mark that makes it and what closes with it, or as group 1 the blank or markup after its last character.
 _LAST = (
+    # where an end can be at all: one class rules out most characters
+    rf"(?=[ \t\n\x0b\f\r.?!{NOTHING}-{PLACES['｡']}])(?:"
+    # blanks after the last visible character of a paragraph or item
+    rf"([\s{NOTHING}](?![!-~])(?<={_SEEN}[\s{NOTHING}])(?:(?<=\n)(?=[ \t\r]*\n)|(?=[\s{NOTHING}{REST}]*(?:{BREAK}|\n[ \t\r]*\n))|"
+    # Thai before a blank
+    rf"(?<=[ \t])(?:(?=[ \t]*[{THAI}])(?<=[{THAI}{WORD}\p{{N}}][ \t])|(?<=[{THAI}][ \t])(?=[ \t]*[{WORD}\p{{N}}])))|"
+    # markup after it
+    rf"{BREAK}(?<={_SEEN}{BREAK}))|"
     # a mark that needs no blank after it
     rf"([{_FULL}]{_TAIL}|[.?!](?:(?<=[{CJK}][.?!]){_TAIL}|"
     # a mark before a blank, with no small letter after it
-    rf"{_TAIL}(?={_AFTER})(?![\s{NOTHING}{REST}]*\p{{Ll}})))|"
-    # markup after the last visible character of a paragraph or item
-    rf"({BREAK}(?<={_SEEN}{BREAK})|"
-    # blanks after it
-    rf"[\s{NOTHING}](?![!-~])(?<={_SEEN}[\s{NOTHING}])(?:(?<=\n)(?=[ \t\r]*\n)|(?=[\s{NOTHING}{REST}]*(?:{BREAK}|\n[ \t\r]*\n))|"
-    # Thai before a blank
-    rf"(?<=[ \t])(?:(?=[ \t]*[{THAI}])(?<=[{THAI}{WORD}\p{{N}}][ \t])|(?<=[{THAI}][ \t])(?=[ \t]*[{WORD}\p{{N}}]))))"
+    rf"{_TAIL}(?={_AFTER})(?![\s{NOTHING}{REST}]*\p{{Ll}}))))"
 )
 
 
@@ -209,7 +220,7 @@ def ends_marked(body_: Column) -> Column:
     idle_quotes = _tiled(
         masked, _QUOTES, lambda t: F.when(t.rlike(f"^[{_OPEN}]"), F.regexp_replace(t, f"[{_MARK}]", MASKED)).otherwise(t)
     )
-    return F.regexp_replace(F.regexp_replace(idle_quotes, _IDLE, MASKED), _LAST, "$1" + END + "$2")
+    return F.regexp_replace(F.regexp_replace(idle_quotes, _IDLE, MASKED), _LAST, "$2" + END + "$1")
 
 
 def _marked(documents: DataFrame) -> DataFrame:
