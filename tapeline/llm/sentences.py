@@ -204,10 +204,17 @@ def _tiled(c: Column, tiles: str, each) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(tiles), F.lit(0)), each), "")
 
 
+#: The text up to the first ``\\begin{document}`` that no comment holds.
+_PREAMBLE = (
+    r"^(?:[^%\\]++|%[^\r\n]*+|\\iffalse(?![a-zA-Z])[\s\S]*?(?:\\fi(?![a-zA-Z])|\z)|\\(?!begin\{document\})[\s\S]?)*+"
+    r"\\begin\{document\}"
+)
+
+
 def body(text: Column) -> Column:
-    """The text after ``\\begin{document}``, or all of it."""
-    at = F.locate(r"\begin{document}", text)
-    return F.when(at > 0, F.substr(text, at + F.lit(16))).otherwise(text)
+    """The text after ``\\begin{document}``, or all of it; one within a comment does not count."""
+    preamble = F.when(F.contains(text, F.lit(r"\begin{document}")), F.length(F.regexp_extract(text, _PREAMBLE, 0))).otherwise(0)
+    return F.substr(text, preamble + 1)
 
 
 def ends_marked(body_: Column) -> Column:

@@ -56,6 +56,12 @@ def test_places_count_from_the_whole_text(spark):
     assert ends(spark, [text]) == {0: [text.index("Yes.") + 3]}
 
 
+def test_a_commented_begin_is_no_begin(spark):
+    text = "% \\begin{document} old\n\\iffalse \\begin{document} \\fi\n\\title{No. No.} 5\\% No. \\begin{document}\nYes.\n\\end{document}"
+    drafts = "% \\begin{document}\nAll of it. Is text.\n"
+    assert ends(spark, [text, drafts]) == {0: [text.index("Yes.") + 3], 1: [drafts.index("it.") + 2, drafts.index("text.") + 4]}
+
+
 def test_null_empty_blank_cut_and_odd_texts(spark):
     texts = [None, "", " \n\t ", "\\begin{document}", "cut $x_", "\ue000\ue004 odd.", "word " * 20_000, "a. " * 3_000, "A bc. " * 3_000]
     out = ends(spark, texts)
