@@ -24,8 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_flagged(spark: SparkSession, d: str) -> DataFrame:
     """The implausible readings with their series and value."""
     lob, bars = table(spark, d, "lob_records"), table(spark, d, "minute_bars")
-    readings = spikes.table_readings(lob, bars, table(spark, d, "sessions"))
-    return spikes.spikes(readings, 2 * lob.count() + bars.count())
+    return spikes.spikes(spikes.table_readings(lob, bars, table(spark, d, "sessions")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ def series(values, src="lob_records", field="price", source="s"):
 
 
 def found(spark, rows, **kw):
-    return sorted((r.source, r.row_id) for r in spikes.spikes(spark.createDataFrame(rows, SCHEMA), len(rows), **kw).collect())
+    return sorted((r.source, r.row_id) for r in spikes.spikes(spark.createDataFrame(rows, SCHEMA), **kw).collect())
 
 
 def calm(n=200, seed=1, level=50.0):
@@ -127,8 +127,32 @@ def test_usual_size_is_the_median_of_the_series(spark):
         assert spikes._with_usual(df, spans).first()["usual"] == np.median(x[:n])
 
 
-def test_candidates_are_symmetric_in_sign():
+def test_radii_are_symmetric_in_sign():
     x = np.random.default_rng(0).normal(size=300)
     x[100] = 30
-    assert spikes.candidates(x, 0.0)[100]
-    assert (spikes.candidates(-x, 0.0) == spikes.candidates(x, 0.0)).all()
+    axes = spikes.ellipsoids([spikes.moments(x, np.ones(300, bool))], 0.0)
+    r = spikes.radius(x, *spikes.differences(x), axes)
+    assert r[100] > 3 and np.allclose(spikes.radius(-x, *spikes.differences(-x), axes), r)
+
+
+def test_the_ellipsoids_give_the_verdict(monkeypatch):
+    """A size that is no greater than those of a slow swell, but stands alone: its differences leave the ellipsoids, its value does not."""
+    x = np.round(1000 * np.exp(np.sin(np.arange(600) * 2 * np.pi / 600)) + np.random.default_rng(3).normal(0, 3, 600))
+    x[450] = 2600.0
+    rule = spikes.RULES["lob_records", "volume"]
+    assert np.flatnonzero(spikes.whole(x, rule, 3.0, 3)).tolist() == [450]
+    monkeypatch.setattr(spikes, "radius", lambda value, first, second, axes: np.abs(value) / axes[0])
+    assert not spikes.whole(x, rule, 3.0, 3).any()
+
+
+def test_long_series_in_tiles_have_the_ellipsoids_of_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.r_[np.round(50 + rng.normal(0, 0.02, 900), 3), np.round(80 + rng.normal(0, 0.6, 700), 3)]  # calm, then restless
+    x[[100, 450]] += 1.5  # beyond the calm part's swing, within the whole series'
+    x[[700, 1300]] += 15
+    x[595:625] = 50.5  # stuck over a border
+    whole = found(spark, series(x))
+    assert ("s", 700) in whole and ("s", 1300) in whole and ("s", 100) not in whole and ("s", 620) in whole
+    for size in (200, 1000):
+        monkeypatch.setattr(spikes, "TILE", size)
+        assert found(spark, series(x)) == whole
