@@ -3,8 +3,8 @@
 State: level and slope, whose slope is a Wiener process and whose level has a
 Wiener part of its own, so that between two times dt apart
 ``F = [[1, dt], [0, 1]]`` and ``Q = q * [[dt + dt^3/3, dt^2/2], [dt^2/2, dt]]`` with
-slope noise scaled by ``SLOPE``. The smoother runs over the grid times and the
-readings' own times, merged; what comes out is the level at each grid time with
+slope noise scaled by ``SLOPE``. The smoother runs over the grid times and all
+readings at their own times, merged; what comes out is the level at each grid time with
 its standard deviation.
 """
 
@@ -26,88 +26,89 @@ SLOPE = 1e-3
 NOISE_RATIOS = (0.01, 0.1, 1.0, 10.0)
 
 
-def smooth(y: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Level at each grid time and its standard deviation, for many series at once.
+#: Series smoothed at once: bounds the memory of a task, which keeps some 20 numbers for each series, grid time and reading.
+AT_ONCE = 256
 
-    ``y`` is series x grid with NaN where a period has no reading, ``offset`` the
-    reading's distance from the start of its period, in periods, within [0, 1).
-    A series needs one reading at least. With a single reading its level holds
-    throughout; the deviation grows with the distance from it.
+
+def smooth(at: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Level at the grid times 0 to ``width - 1`` and its standard deviation, for many series at once.
+
+    ``at`` is series x readings, times within [0, width) in order, ``y`` the readings; rows are filled up with NaN at
+    the end. A series needs one reading at least. With a single reading its level holds throughout; the deviation
+    grows with the distance from it.
     """
-    seen = ~np.isnan(y)
-    many, _ = y.shape
-    first = np.where(seen.any(1), seen.argmax(1), 0)
-    start = y[np.arange(many), first]
-    at = np.arange(y.shape[1]) + np.where(seen, offset, 0.0)
-    scale = np.empty(many)
+    many = len(y)
+    start, scale = y[:, 0], np.empty(many)
     for i in range(many):
-        k = np.flatnonzero(seen[i])
-        gap = np.diff(at[i, k])
-        steps = np.diff(y[i, k])[gap > 0] / np.sqrt(gap[gap > 0])
+        k = int((~np.isnan(y[i])).sum())
+        gap = np.diff(at[i, :k])
+        steps = np.diff(y[i, :k])[gap > 0] / np.sqrt(gap[gap > 0])
         s = np.median(np.abs(steps)) * 1.4826 if len(steps) else 0.0
         scale[i] = s or (np.sqrt(np.mean(steps**2)) if len(steps) else 0.0) or max(abs(start[i]), 1.0) * 1e-6
-    z = (y - start[:, None]) / scale[:, None]
+    # grid times and readings in one order, a reading at a grid time after it
+    times = np.concatenate([np.broadcast_to(np.arange(width, dtype=float), (many, width)), at], axis=1)
+    values = np.concatenate([np.full((many, width), np.nan), (y - start[:, None]) / scale[:, None]], axis=1)
+    order = np.argsort(times, axis=1, kind="stable")
+    times, values = np.take_along_axis(times, order, 1), np.take_along_axis(values, order, 1)
+    steps = np.diff(np.where(np.isnan(times), np.nanmax(times, axis=1, keepdims=True), times), axis=1, prepend=0.0)
+    z, dt = np.ascontiguousarray(values.T), np.ascontiguousarray(steps.T)
     best, ratio = np.full(many, -np.inf), np.ones(many)
     for r in NOISE_RATIOS:
-        like = _filter(z, seen, offset, np.full(many, r), keep=False)
+        like = _filter(z, dt, np.full(many, r), keep=False)
         ratio = np.where(like > best, r, ratio)
         best = np.maximum(like, best)
-    level, deviation = _filter(z, seen, offset, ratio, keep=True)
+    level, deviation = _filter(z, dt, ratio, keep=True)
+    on_grid = order < width
+    level, deviation = level.T[on_grid].reshape(many, width), deviation.T[on_grid].reshape(many, width)
     return level * scale[:, None] + start[:, None], deviation * scale[:, None]
 
 
-def _filter(z, seen, offset, ratio, keep):
-    """Log likelihood, or with ``keep`` the smoothed level and deviation at the grid times.
+def _filter(z: np.ndarray, dt: np.ndarray, ratio: np.ndarray, keep: bool):
+    """Log likelihood, or with ``keep`` the smoothed level and deviation, all times x series.
 
-    Process noise is taken so that one period's change and the measurement have
-    variance one together: q = 1 / (1 + 2 * ratio), r = ratio * q.
+    ``z`` is NaN where there is no reading, ``dt`` the time since the one before. Process noise is taken so that one
+    period's change and the measurement have variance one together: q = 1 / (1 + 2 * ratio), r = ratio * q.
     """
-    many, length = z.shape
+    length, many = z.shape
     q = 1.0 / (1.0 + 2.0 * ratio)
     r = ratio * q
     m0, m1 = np.zeros(many), np.zeros(many)
     p00, p01, p11 = np.full(many, 1e4), np.zeros(many), np.full(many, 1e-2)
     like = np.zeros(many)
     past = []
+    seen = ~np.isnan(z)
     for t in range(length):
-        for part in (0, 1):  # to the grid time, then to the reading of that period
-            if part == 0:
-                if t == 0:
-                    dt = np.zeros(many)
-                else:
-                    dt = np.where(seen[:, t - 1], 1.0 - offset[:, t - 1], 1.0)
-            else:
-                dt = np.where(seen[:, t], offset[:, t], 0.0)
-            f00, f01, f11 = m0, m1, None
-            before = (m0, m1, p00, p01, p11)
-            m0 = f00 + dt * f01
-            n00 = p00 + 2 * dt * p01 + dt * dt * p11 + q * (dt + SLOPE * dt**3 / 3)
-            n01 = p01 + dt * p11 + q * SLOPE * dt * dt / 2
-            n11 = p11 + q * SLOPE * dt
-            p00, p01, p11 = n00, n01, n11
-            if keep:
-                past.append((before, dt, (m0, m1, p00, p01, p11)))
-            if part == 1:
-                has = seen[:, t]
-                s = p00 + r
-                e = np.where(has, z[:, t] - m0, 0.0)
-                k0, k1 = np.where(has, p00 / s, 0.0), np.where(has, p01 / s, 0.0)
-                like -= np.where(has, 0.5 * (np.log(s) + e * e / s), 0.0)
-                m0, m1 = m0 + k0 * e, m1 + k1 * e
-                p11 = p11 - k1 * p01
-                p00, p01 = (1 - k0) * p00, (1 - k0) * p01
+        d = dt[t]
+        before = (m0, m1, p00, p01, p11)
+        m0 = m0 + d * m1
+        p00, p01, p11 = (
+            p00 + 2 * d * p01 + d * d * p11 + q * (d + SLOPE * d**3 / 3),
+            p01 + d * p11 + q * SLOPE * d * d / 2,
+            p11 + q * SLOPE * d,
+        )
+        if keep:
+            past.append((before, (m0, m1, p00, p01, p11)))
+        has = seen[t]
+        if has.any():
+            s = p00 + r
+            e = np.where(has, z[t] - m0, 0.0)
+            k0, k1 = np.where(has, p00 / s, 0.0), np.where(has, p01 / s, 0.0)
+            like -= np.where(has, 0.5 * (np.log(s) + e * e / s), 0.0)
+            m0, m1 = m0 + k0 * e, m1 + k1 * e
+            p11 = p11 - k1 * p01
+            p00, p01 = (1 - k0) * p00, (1 - k0) * p01
     if not keep:
         return like
-    level, variance = np.empty((many, length)), np.empty((many, length))
+    level, variance = np.empty((length, many)), np.empty((length, many))
     s0, s1, v00, v01, v11 = m0, m1, p00, p01, p11
-    for step in range(2 * length - 1, -1, -1):
-        before, dt, (a0, a1, a00, a01, a11) = past[step]
-        if step % 2 == 0:
-            level[:, step // 2], variance[:, step // 2] = s0, v00
+    for t in range(length - 1, -1, -1):
+        before, (a0, a1, a00, a01, a11) = past[t]
+        d = dt[t]
+        level[t], variance[t] = s0, v00
         b0, b1, b00, b01, b11 = before
         # gain = P F' inv(predicted P)
-        c00, c01 = b00 + dt * b01, b01
-        c10, c11 = b01 + dt * b11, b11
+        c00, c01 = b00 + d * b01, b01
+        c10, c11 = b01 + d * b11, b11
         det = a00 * a11 - a01 * a01
         det = np.where(np.abs(det) < 1e-300, 1e-300, det)
         g00, g01 = (c00 * a11 - c01 * a01) / det, (c01 * a00 - c00 * a01) / det
@@ -128,34 +129,25 @@ def to_grid(
 ) -> DataFrame:
     """One row for each source, block of time and grid step in ``[start, end)``.
 
-    ``readings`` holds usable readings only, each with the bounds ``start`` and
-    ``end`` of its block. Of several readings within a step the last by
-    ``(at, *order)`` counts, before anything is gathered, so what is gathered of a
-    source and block is no more than the block's steps, however many readings it has.
+    ``readings`` holds usable readings only, each with the bounds ``start`` and ``end`` of its block. All of them go
+    into the smoother at their own times; of several with one stamp ``at`` the last by ``order`` counts, before
+    anything is gathered. What is gathered is a source's block, which its length and the finest time between readings
+    bound: choose blocks (days, sessions) that a task can hold. Each block is smoothed by itself, since what happens
+    between blocks (a closed market, a sensor switched off) is no part of the process; so a gap at a block's start is
+    filled from the readings after it only.
 
-    Columns: source, block, ``grid_at`` (start of the step), ``reading`` (null if
+    Columns: source, block, ``grid_at`` (start of the step), ``reading`` (the step's last, null if
     there is none), ``missing``, ``filled`` and ``filled_sd``. A source without a
     reading in a block has no rows there. An empty table gives no rows.
     """
-    index = ((F.col(at) - F.col(start) - F.pmod(F.col(at) - F.col(start), F.lit(step))) / F.lit(step)).cast("int")
-    last = readings.groupBy(source, block, start, end, index.alias("_i")).agg(
-        F.max(F.struct(F.col(at), *[F.col(c) for c in order], F.col(value).cast("double").alias("_v"))).alias("_r")
+    last = readings.groupBy(source, block, start, end, at).agg(
+        F.max(F.struct(*[F.col(c) for c in order], F.col(value).cast("double").alias("_v")))["_v"].alias("_v")
     )
     kind = dict(readings.dtypes)
     gathered = last.groupBy(source, block, start, end).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "_i",
-                    (F.pmod(F.col(f"_r.{at}") - F.col(start), F.lit(step)) / F.lit(float(step))).alias("o"),
-                    F.col("_r._v").alias("v"),
-                )
-            )
-        ).alias("_all")
-    )
-    packed = gathered.select(
-        source, block, start, end, F.col("_all._i").alias("_i"), F.col("_all.o").alias("_o"), F.col("_all.v").alias("_v")
+        F.sort_array(F.collect_list(F.struct((F.col(at) - F.col(start)).alias("o"), F.col("_v").alias("v")))).alias("_all")
     )
+    packed = gathered.select(source, block, start, end, F.col("_all.o").alias("_o"), F.col("_all.v").alias("_v"))
     schema = (
         f"`{source}` {kind[source]}, `{block}` {kind[block]}, `{start}` long,"
         " reading array<double>, filled array<double>, filled_sd array<double>"
@@ -166,14 +158,21 @@ def to_grid(
             steps = -(-(pdf[end].to_numpy("int64") - pdf[start].to_numpy("int64")) // step)
             for width in np.unique(steps):
                 rows = np.flatnonzero(steps == width)
-                y, o = np.full((len(rows), width), np.nan), np.zeros((len(rows), width))
-                for k, row in enumerate(rows):
-                    i = np.asarray(pdf["_i"].iloc[row])
-                    y[k, i], o[k, i] = pdf["_v"].iloc[row], pdf["_o"].iloc[row]
-                level, deviation = smooth(y, o)
-                out = pdf.iloc[rows][[source, block, start]].copy()
-                out["reading"], out["filled"], out["filled_sd"] = list(y), list(level), list(deviation)
-                yield out
+                # series with about as many readings come together, so that few places stay empty
+                rows = rows[np.argsort([len(pdf["_o"].iloc[i]) for i in rows], kind="stable")]
+                for lo in range(0, len(rows), AT_ONCE):
+                    yield part(pdf.iloc[rows[lo : lo + AT_ONCE]], int(width))
+
+    def part(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
+        longest = max(map(len, pdf["_o"]))
+        at, y, last = np.full((len(pdf), longest), np.nan), np.full((len(pdf), longest), np.nan), np.full((len(pdf), width), np.nan)
+        for k, (o, v) in enumerate(zip(pdf["_o"], pdf["_v"], strict=True)):
+            at[k, : len(o)], y[k, : len(o)] = np.asarray(o, float) / step, v
+            last[k, np.asarray(o, np.int64) // step] = v  # in order, so the last one of a step stays
+        level, deviation = smooth(at, y, width)
+        out = pdf[[source, block, start]].copy()
+        out["reading"], out["filled"], out["filled_sd"] = list(last), list(level), list(deviation)
+        return out
 
     dense = packed.mapInPandas(run, schema)
     return dense.select(
@@ -195,6 +194,7 @@ def minute_grid(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     A close is usable if it is not null, finite and above 0; rows with an unknown
     profile, a null stamp or a null ticker are no readings. Ties of one stamp go to
     the row loaded last, then to the greater ``bar_id``. Exact copies change nothing.
+    A session is a block: its smoother begins anew at the open.
     """
     readings = in_session(
         bars.select("bar_id", "ticker", "close", "loaded_at", bar_ns(F.col("profile"), F.col("window_start")).alias("ns"))
