@@ -1,29 +1,32 @@
-"""Byte-pair encoding by a tokenization automaton, from the rank file of a public tokenizer.
+"""Byte-pair encoding by a tokenization automaton, compiled from the rank file of a public tokenizer.
 
 The automaton reads tokens: its paths are exactly the token sequences that the merges
 make of some text, one for each text. It starts with one state that every byte leads
-back to. The merge ``u v -> w`` adds a gadget: the state that ``u`` leads to is split so
-that ``v`` no longer follows ``u``, and wherever an arc ``u`` leaves, an arc ``w`` is
-laid to where ``v`` led. The state after a token thus depends on the token alone, and
-whether an arc ``y`` leaves the state after ``x`` depends on the gadgets that touched
-the two while they came to be; :meth:`MergeAutomaton.arc` reads it from the gadgets' table and
-keeps the answer. (States are not copied out: 50,000 states times 50,000 arcs are mostly alike.)
-
-A pre-split word is encoded from left to right. A second table, of byte transitions,
-names the tokens that end at each place; the one that the automaton has an arc for from
-the state at its own start is the last token of the text so far. Since the automaton is
-deterministic there is one such token at each place, so the time is linear in the word.
-Decoding emits the labels of the arcs.
+back to. The merge ``u v -> w`` adds a gadget: the state that ``u`` leads to is split, ``u`` leads to the
+part that ``v`` no longer leaves, and wherever an arc ``u`` leaves, an arc ``w`` is
+laid to where ``v`` led.
+
+Where an arc leads depends on its label alone, so a table by token holds it. A split state differs from
+the one it came of by the arcs it has lost: ``v``, the arcs laid for tokens that begin with ``v`` since, and those that
+would be laid later. Arcs are numbered along the tree of tokens and the tokens that begin with them, the
+latest first, which makes what one split takes away a range of numbers. A state's row is the list of its
+ranges, so some 15,000 states of 50,000 arcs take a few megabytes.
+
+A second table, of byte transitions, holds the labels of all arcs. A pre-split word is
+encoded by following both tables from each place that is reached: an arc whose label stands there and that the state's row does not exclude
+leads to the place after it. The automaton is deterministic, so each place is reached by one arc at most and the arcs back from the word's
+end are its tokens. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from array import array
+from bisect import bisect_right
 from itertools import accumulate
 from pathlib import Path
 
-import ahocorasick
 import numpy as np
 import regex
 
@@ -45,20 +48,79 @@ class MergeAutomaton:
     """The automaton of one tokenizer, compiled from its rank file (token in base64, rank)."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.labels = {rank: token for token, rank in ranks.items()}
         merges = self._merges(ranks)
-        self.left, self.right = {}, {}
-        self.born = dict.fromkeys((ranks[t] for t in ranks if len(t) == 1), -1)
-        self.gadget: dict[int, int] = {}
-        self.known: dict[int, bool] = {}
-        for time, (u, v, w) in enumerate(merges):
-            self.gadget[u << 20 | v] = time
-            self.left[w], self.right[w], self.born[w] = u, v, time
-        self.ends = ahocorasick.Automaton()
+        #: Label of each arc; where it leads; its number.
+        self.labels = {rank: token for token, rank in ranks.items()}
+        self.leads = {ranks[t]: 0 for t in ranks if len(t) == 1}
+        self.number, ends = self._numbers(list(self.leads), merges)
+        #: For each state the bounds of the ranges of arcs that don't leave it, in order: an odd place is within one.
+        self.rows = self._rows(merges, ends)
+        #: Byte transitions: (node, byte) to node, and the arc whose label ends at a node.
+        self.step: dict[int, int] = {}
+        self.ends_at = array("i", [-1])
         for token, rank in ranks.items():
-            if rank in self.born:
-                self.ends.add_word(token.decode("latin-1"), (len(token), rank))
-        self.ends.make_automaton()
+            if rank in self.leads:
+                self._spell(token, rank)
+
+    @staticmethod
+    def _numbers(roots: list[int], merges: list[tuple[int, int, int]]) -> tuple[dict[int, int], dict[int, list[tuple[int, int]]]]:
+        """Numbers of arcs along the tree of left parts, the latest first, and for each arc (time, end) of what was laid on it, the latest first."""
+        laid: dict[int, list[tuple[int, int]]] = {}
+        for time, (u, _, w) in enumerate(merges):
+            laid.setdefault(u, []).append((time, w))
+        number: dict[int, int] = {}
+        ends: dict[int, list[tuple[int, int]]] = {}
+        stack = [(root, -1, -1) for root in reversed(roots)]
+        while stack:
+            arc, on, time = stack.pop()
+            if arc < 0:  # all that was laid on ~arc is numbered
+                ends.setdefault(on, []).append((time, len(number)))
+                continue
+            number[arc] = len(number)
+            if on >= 0:
+                stack.append((-1, on, time))
+            stack += [(w, arc, t) for t, w in laid.get(arc, ())]  # the latest on top
+        return number, ends
+
+    def _rows(self, merges: list[tuple[int, int, int]], ends: dict[int, list[tuple[int, int]]]) -> dict[int, array]:
+        """Lays the gadgets one after another; returns the rows of the states that arcs lead to in the end."""
+        came_of, lost = [-1], [(0, 0)]
+        leads = self.leads
+        for time, (u, v, w) in enumerate(merges):
+            first = self.number[v]
+            past = first + 1
+            for laid, end in ends.get(v, ()):
+                if laid < time:
+                    break
+                past = end
+            came_of.append(leads[u])
+            lost.append((first, past))
+            leads[w] = leads[v]  # where v led before the split, also where u is v
+            leads[u] = len(lost) - 1
+        rows = {}
+        for state in set(leads.values()):
+            ranges, at = [], state
+            while at > 0:
+                ranges.append(lost[at])
+                at = came_of[at]
+            row: list[int] = []
+            for lo, hi in sorted(ranges):
+                if row and lo <= row[-1]:
+                    row[-1] = max(row[-1], hi)
+                else:
+                    row += (lo, hi)
+            rows[state] = array("i", row)
+        return rows
+
+    def _spell(self, token: bytes, rank: int) -> None:
+        node = 0
+        for byte in token:
+            key = node << 8 | byte
+            node = self.step.get(key, -1)
+            if node < 0:
+                node = self.step[key] = len(self.ends_at)
+                self.ends_at.append(-1)
+        self.ends_at[node] = rank
 
     @staticmethod
     def load(path: str | Path) -> MergeAutomaton:
@@ -82,42 +144,27 @@ class MergeAutomaton:
 
     def arc(self, x: int, y: int) -> bool:
         """Whether an arc ``y`` leaves the state that ``x`` leads to."""
-        key = x << 20 | y
-        answer = self.known.get(key)
-        if answer is None:
-            answer = self.known[key] = self._arc(x, y)
-        return answer
-
-    def _arc(self, x: int, y: int) -> bool:
-        """Back through the gadgets: of the later born of the two tokens, the arcs are those of the part beside the other.
-
-        ``y = u v`` was laid after its own gadget had split the state after ``u``, while ``x = u v`` leads to where ``v``
-        led before it; that matters for doubled parts only.
-        """
-        gadget, born, before = self.gadget, self.born, 1 << 60
-        while True:
-            cut = gadget.get(x << 20 | y)
-            if cut is not None and cut < before:
-                return False
-            if born[y] > born[x]:
-                before, y = min(before, born[y] + 1), self.left[y]
-            elif born[x] >= 0:
-                before, x = born[x], self.right[x]
-            else:
-                return True
+        return not bisect_right(self.rows[self.leads[x]], self.number[y]) & 1
 
     def encode(self, word: bytes) -> list[int]:
         """The token ids of one pre-split word."""
-        last = [-1] * (len(word) + 1)  # at each place the last token of the text before it
-        size = [0] * (len(word) + 1)
-        for end, (length, token) in self.ends.iter(word.decode("latin-1")):
-            at = end + 1
-            if size[at]:
+        step, ends_at, rows, leads, number = self.step.get, self.ends_at, self.rows, self.leads, self.number
+        length = len(word)
+        last = [-1] * (length + 1)  # at each place the arc that reaches it
+        size = [0] * (length + 1)
+        for start in range(length):
+            if start and not size[start]:
                 continue
-            start = at - length
-            if start == 0 or (size[start] and self.arc(last[start], token)):
-                last[at], size[at] = token, length
-        out, at = [], len(word)
+            row = rows[leads[last[start]]] if start else ()
+            node = 0
+            for at in range(start, length):
+                node = step(node << 8 | word[at], -1)
+                if node < 0:
+                    break
+                token = ends_at[node]
+                if token >= 0 and not size[at + 1] and not bisect_right(row, number[token]) & 1:
+                    last[at + 1], size[at + 1] = token, at + 1 - start
+        out, at = [], length
         while at:
             if not size[at]:
                 raise ValueError(f"no token ends at byte {at} of {word[:80]!r}: the rank file lacks a byte or a merge")

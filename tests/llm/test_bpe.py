@@ -60,3 +60,26 @@ def test_query_over_nulls_repeats_and_extra_columns(spark):
     out = corpus.token_ids(spark.createDataFrame(rows, "doc_id long, text string, ids int")).collect()
     assert sorted((str(r.doc_id), len(r.ids)) for r in out) == [("1", 2), ("1", 2), ("2", 0), ("3", 0), ("None", 1)]
     assert corpus.token_ids(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_tables_hold_exactly_the_pairs_that_no_merge_changes():
+    """Walks the compiled tables: an arc leaves a state if and only if the two tokens, put together, are encoded as the two."""
+    name = NAMES[0]
+    automaton, other = bpe.encoder(corpus.rank_file(name)).automaton, reference(name)
+    assert len(automaton.rows) < 20_000 and sum(map(len, automaton.rows.values())) < 1_000_000
+    assert sorted(automaton.number.values()) == list(range(len(automaton.labels))[: len(automaton.number)])
+    rng = random.Random(9)
+    words = sorted(automaton.leads, key=lambda r: automaton.labels[r])
+    short = [r for r in words if len(automaton.labels[r]) <= 2]
+    arcs = 0
+    for _ in range(20_000):
+        x, y = rng.choice(rng.choice((words, short))), rng.choice(rng.choice((words, short)))
+        leaves = automaton.arc(x, y)
+        arcs += leaves
+        assert leaves == (other._encode_single_piece(automaton.labels[x] + automaton.labels[y]) == [x, y])
+    assert 1_000 < arcs < 19_999
+    for token in rng.sample(words, 500):  # the byte table spells each arc's label
+        node = 0
+        for byte in automaton.labels[token]:
+            node = automaton.step[node << 8 | byte]
+        assert automaton.ends_at[node] == token
