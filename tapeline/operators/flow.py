@@ -1,4 +1,8 @@
-"""Order-flow factors per symbol, day and minute, from the tape."""
+"""Order-flow factors per symbol, day and minute, from the tape.
+
+Only changes within the continuous sessions count, and aggressors are told by their ids: the greater one came later.
+Ages and lives are counted in events. Where a rule compares an id with a place in the tape, the place of the id's first order stands for it.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +26,7 @@ def minute_flow(tape: DataFrame, large: float = 0.9) -> DataFrame:
         .groupBy(*DAY)
         .agg(F.percentile("volume", F.lit(large)).alias("large_at"))
     )
-    traded = aggressor_side(ordered).select(*BUCKET, "actiontype", F.col("side").alias("direction"), "volume")
+    traded = aggressor_side(ordered, stated=False).select(*BUCKET, "actiontype", F.col("side").alias("direction"), "volume")
     rest = ordered.where(F.col("actiontype") != TRADE).select(*BUCKET, "actiontype", "direction", "volume")
     is_ = lambda a, d=None: (F.col("actiontype") == a) & (F.col("direction") == d if d else F.lit(True))
     one, volume = F.lit(1), F.col("volume")
@@ -56,45 +60,49 @@ def minute_flow(tape: DataFrame, large: float = 0.9) -> DataFrame:
     )
 
 
-def cancel_life(tape: DataFrame, flash_ms: int = 1000) -> DataFrame:
-    """Life of cancelled orders by minute of the cancel: median in ms, share of flash cancels and their imbalance."""
-    cancels = in_sessions(tape.where(F.col("actiontype") == CANCEL))
-    lived = cancels.join(first_orders(tape), [*DAY, "sysid"]).withColumn("life", F.col("ms") - F.col("order_ms"))
-    flash = F.col("life") <= flash_ms
+def cancel_life(tape: DataFrame, flash: float = 0.1) -> DataFrame:
+    """Life of cancelled orders by minute of the cancel: median log life, and the flash cancels' share and imbalance, by volume.
+
+    A life is the events between order and cancel; flash cancels live no longer than the ``flash`` quantile (linear) of the symbol's day.
+    """
+    ours = in_sessions(tape)
+    lived = (
+        ours.where(F.col("actiontype") == CANCEL)
+        .join(first_orders(ours).select(*DAY, "sysid", "order_seq"), [*DAY, "sysid"])
+        .withColumn("life", F.col("seqno") - F.col("order_seq"))
+        .where("life > 0")
+    )
+    cut = lived.groupBy(*DAY).agg(F.percentile("life", F.lit(flash)).alias("flash_at"))
+    quick, buy = F.col("life") <= F.col("flash_at"), F.coalesce(F.col("direction") == "B", F.lit(False))
     return (
-        lived.groupBy(*BUCKET)
+        lived.join(cut, DAY)
+        .groupBy(*BUCKET)
         .agg(
             F.count("*").alias("n"),
-            F.median("life").alias("life_med"),
-            F.avg(flash.cast("double")).alias("flash_ratio"),
-            imbalance(
-                sum_if(flash & (F.col("order_side") == "B"), F.col("volume")), sum_if(flash & (F.col("order_side") == "S"), F.col("volume"))
-            ).alias("flash_imb"),
+            F.median(F.log1p("life")).alias("life_med"),
+            ratio(sum_if(quick, F.col("volume")), F.sum("volume")).alias("flash_ratio"),
+            imbalance(sum_if(quick & buy, F.col("volume")), sum_if(quick & ~buy, F.col("volume"))).alias("flash_imb"),
         )
     )
 
 
 def eaten_age(tape: DataFrame) -> DataFrame:
-    """Age of resting orders when they are hit: volume-weighted log age by aggressor side and their imbalance, median age."""
-    trades = in_sessions(aggressor_side(tape)).select(*BUCKET, "ms", "side", "volume", F.col("passive_id").alias("sysid"))
-    aged = trades.join(first_orders(tape).select(*DAY, "sysid", "order_ms"), [*DAY, "sysid"]).withColumn(
-        "age", F.greatest(F.col("ms") - F.col("order_ms"), F.lit(0)) / 1000
-    )
-    weighted = F.col("volume") * F.log1p("age")
+    """Age of resting orders when they are hit, as the log distance of the two ids: imbalance of its volume-weighted mean by
+    aggressor side, its median, and the imbalance of the volume that hits orders as old as the day's median or older."""
+    trades = aggressor_side(in_sessions(tape), stated=False).withColumn("age", F.log1p(F.abs(F.col("buyid") - F.col("sellid")).cast("double")))
+    middle = trades.groupBy(*DAY).agg(F.median("age").alias("middle"))
+    buy, old = F.col("side") == "B", F.col("age") >= F.col("middle")
+    volume, weighted = F.col("volume"), F.col("volume") * F.col("age")
     return (
-        aged.groupBy(*BUCKET)
+        trades.join(middle, DAY)
+        .groupBy(*BUCKET)
         .agg(
-            sum_if(F.col("side") == "B", weighted).alias("_wb"),
-            sum_if(F.col("side") == "S", weighted).alias("_ws"),
-            sum_if(F.col("side") == "B", F.col("volume")).alias("_vb"),
-            sum_if(F.col("side") == "S", F.col("volume")).alias("_vs"),
+            ratio(sum_if(buy, weighted), sum_if(buy, volume)).alias("_b"),
+            ratio(sum_if(~buy, weighted), sum_if(~buy, volume)).alias("_s"),
             F.median("age").alias("age_med"),
+            imbalance(sum_if(buy & old, volume), sum_if(~buy & old, volume)).alias("old_imb"),
         )
-        .select(
-            *BUCKET,
-            imbalance(ratio(F.col("_wb"), F.col("_vb")), ratio(F.col("_ws"), F.col("_vs"))).alias("age_imb"),
-            "age_med",
-        )
+        .select(*BUCKET, imbalance(F.col("_b"), F.col("_s")).alias("age_imb"), "age_med", "old_imb")
     )
 
 
@@ -110,93 +118,95 @@ def aggressor_moves(tape: DataFrame) -> DataFrame:
     )
 
 
+def _sides(df: DataFrame, value: str, buy: str, sell: str, mean: str | None, difference: str) -> DataFrame:
+    """Two rows a minute (``side``, ``value``) as columns, with their mean and difference; null where one side is missing."""
+    wide = df.groupBy(*BUCKET).agg(
+        F.max(F.when(F.col("side") == "B", F.col(value))).alias(buy), F.max(F.when(F.col("side") == "S", F.col(value))).alias(sell)
+    )
+    out = wide.withColumn(difference, F.col(buy) - F.col(sell))
+    return out.withColumn(mean, (F.col(buy) + F.col(sell)) / 2) if mean else out
+
+
 def aggressor_hhi(tape: DataFrame) -> DataFrame:
-    """Concentration of aggressive volume over aggressors, by side, and the imbalance of the two."""
-    by_id = in_sessions(aggressor_side(tape)).groupBy(*BUCKET, "side", "active_id").agg(F.sum("volume").cast("double").alias("v"))
+    """Concentration of aggressive volume over aggressors, by side, and the mean and difference of the two."""
+    by_id = aggressor_side(in_sessions(tape), stated=False).groupBy(*BUCKET, "side", "active_id").agg(F.sum("volume").cast("double").alias("v"))
     by_side = by_id.groupBy(*BUCKET, "side").agg(ratio(F.sum(F.col("v") * F.col("v")), F.sum("v") * F.sum("v")).alias("hhi"))
-    return (
-        by_side.groupBy(*BUCKET)
-        .agg(F.max(F.when(F.col("side") == "B", F.col("hhi"))).alias("hhi_buy"), F.max(F.when(F.col("side") == "S", F.col("hhi"))).alias("hhi_sell"))
-        .withColumn("hhi_imb", imbalance(F.coalesce("hhi_buy", F.lit(0.0)), F.coalesce("hhi_sell", F.lit(0.0))))
-    )
+    return _sides(by_side, "hhi", "hhi_buy", "hhi_sell", "hhi_mean", "hhi_imb")
 
 
 def order_chains(tape: DataFrame, gap: int = 64, size: float = 2.0, least: int = 3) -> DataFrame:
-    """Share of orders within chains: consecutive orders of one side, at most ``gap`` changes apart, sizes within a factor."""
-    w = Window.partitionBy(*DAY, "sess").orderBy("seqno")
-    orders = in_sessions(tape.where(F.col("actiontype") == ORDER))
-    before = orders.withColumns({"_s": F.lag("direction").over(w), "_q": F.lag("seqno").over(w), "_v": F.lag("volume").over(w)})
+    """Volume share of orders within chains: orders of one side one after another by id, ids at most ``gap`` apart, sizes within a factor."""
+    w = Window.partitionBy(*DAY).orderBy("sysid", "seqno")
+    orders = in_sessions(tape.where(F.col("actiontype") == ORDER)).withColumn("buy", F.coalesce(F.col("direction") == "B", F.lit(False)))
+    before = orders.withColumns({"_s": F.lag("buy").over(w), "_q": F.lag("sysid").over(w), "_v": F.lag("volume").over(w)})
     breaks = (
         F.col("_q").isNull()
-        | ~F.col("direction").eqNullSafe(F.col("_s"))
-        | (F.col("seqno") - F.col("_q") > gap)
-        | (F.greatest("volume", "_v") > size * F.least("volume", "_v"))
+        | (F.col("buy") != F.col("_s"))
+        | (F.col("sysid") - F.col("_q") > gap)
+        | (F.greatest("volume", "_v") > size * F.greatest(F.least("volume", "_v"), F.lit(1)))
     )
     chained = before.withColumn("chain", F.sum(breaks.cast("int")).over(w))
-    long = chained.withColumn("n", F.count("*").over(Window.partitionBy(*DAY, "sess", "chain")))
-    in_chain = F.col("n") >= least
+    long = chained.withColumn("n", F.count("*").over(Window.partitionBy(*DAY, "chain")))
+    inside, volume = F.col("n") >= least, F.col("volume")
     return long.groupBy(*BUCKET).agg(
-        F.avg(in_chain.cast("double")).alias("chain_share"),
-        imbalance(
-            sum_if(in_chain & (F.col("direction") == "B"), F.col("volume")), sum_if(in_chain & (F.col("direction") == "S"), F.col("volume"))
-        ).alias("chain_imb"),
+        ratio(sum_if(inside, volume), F.sum(volume)).alias("chain_share"),
+        imbalance(sum_if(inside & F.col("buy"), volume), sum_if(inside & ~F.col("buy"), volume)).alias("chain_imb"),
     )
 
 
 def kept_residual(tape: DataFrame, window: int = 5000) -> DataFrame:
-    """What aggressors leave resting and keep: order volume less fills, not cancelled within ``window`` changes of the last fill."""
-    fills = aggressor_side(tape).groupBy(*DAY, F.col("active_id").alias("sysid")).agg(
-        F.sum("volume").alias("filled"), F.max("seqno").alias("last_fill")
-    )
-    cancels = tape.where(F.col("actiontype") == CANCEL).groupBy(*DAY, "sysid").agg(F.min("seqno").alias("cancel_seq"))
-    left = (
-        first_orders(tape)
+    """What aggressors leave resting and keep: order volume less all fills, not cancelled up to ``window`` events after the last
+    aggressive trade, in that trade's minute. A cancel before it keeps nothing."""
+    ours = in_sessions(tape)
+    trades = aggressor_side(ours, stated=False)
+    fills = trades.select(*DAY, F.explode(F.array("buyid", "sellid")).alias("sysid"), "volume").groupBy(*DAY, "sysid").agg(F.sum("volume").alias("filled"))
+    last = trades.groupBy(*DAY, F.col("active_id").alias("sysid")).agg(F.max(F.struct("seqno", "sess", "bkt")).alias("_l"))
+    cancels = ours.where(F.col("actiontype") == CANCEL).groupBy(*DAY, "sysid").agg(F.min("seqno").alias("cancel_seq"))
+    kept = (
+        last.join(first_orders(ours), [*DAY, "sysid"])
         .join(fills, [*DAY, "sysid"])
         .join(cancels, [*DAY, "sysid"], "left")
         .withColumn("residual", F.col("order_volume") - F.col("filled"))
-        .where("residual > 0")
+        .where((F.col("residual") > 0) & (F.col("cancel_seq").isNull() | (F.col("cancel_seq") - F.col("_l.seqno") > window)))
     )
-    kept = F.col("cancel_seq").isNull() | (F.col("cancel_seq") < F.col("last_fill")) | (F.col("cancel_seq") > F.col("last_fill") + window)
-    return in_sessions(left.withColumnRenamed("order_ms", "ms")).groupBy(*BUCKET).agg(
-        F.count("*").alias("n"),
-        imbalance(
-            sum_if(kept & (F.col("order_side") == "B"), F.col("residual")), sum_if(kept & (F.col("order_side") == "S"), F.col("residual"))
-        ).alias("kept_imb"),
+    buy = F.coalesce(F.col("order_side") == "B", F.lit(False))
+    return kept.groupBy(*DAY, "_l.sess", "_l.bkt").agg(
+        F.count("*").alias("n"), imbalance(sum_if(buy, F.col("residual")), sum_if(~buy, F.col("residual"))).alias("kept_imb")
     )
 
 
 def chases(tape: DataFrame, gap: int = 256, low: float = 0.7, high: float = 1.4) -> DataFrame:
-    """Cancels followed by the next order of their side (as-of forward, the same change included) at another price and like size.
+    """Cancels followed by the next order of their side (as-of forward, the same event included) at a price that chases the market:
+    a buy higher, a sell lower than the cancelled order's own, of like size. By minute and volume of the new order.
 
-    As-of by one ordered window over both kinds of row, not by a range join.
+    A cancel's price is looked up, as feeds leave it out. As-of by one window over both kinds of row, read backwards, not by a range join.
     """
-    side = F.col("direction")
-    rows = tape.where(F.col("actiontype").isin(ORDER, CANCEL) & side.isNotNull())
-    w = Window.partitionBy(*DAY, "direction").orderBy("seqno", F.desc("actiontype")).rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(
-        F.when(F.col("actiontype") == ORDER, F.struct("seqno", "volume", cents(F.col("price")).alias("cents"))), ignorenulls=True
-    ).over(w)
-    found = rows.withColumn("_n", nxt).where((F.col("actiontype") == CANCEL) & F.col("_n").isNotNull())
-    like = F.col("_n.volume") / F.col("volume")
-    chased = found.where(
-        (F.col("_n.seqno") - F.col("seqno") <= gap) & like.between(low, high) & (F.col("_n.cents") != cents(F.col("price")))
-    )
-    up = F.col("_n.cents") > cents(F.col("price"))
-    return in_sessions(chased).groupBy(*BUCKET).agg(
-        F.count("*").alias("n"),
-        imbalance(sum_if((side == "B") & up, F.col("volume")), sum_if((side == "S") & ~up, F.col("volume"))).alias("chase_imb"),
+    ours = in_sessions(tape).where("direction IS NOT NULL")
+    plain = [*DAY, "direction", "seqno", "actiontype", "volume", "sess", "bkt"]
+    orders = ours.where(F.col("actiontype") == ORDER).select(*plain, cents(F.col("price")).alias("cents"))
+    cancels = ours.where(F.col("actiontype") == CANCEL).join(first_orders(in_sessions(tape)).select(*DAY, "sysid", "order_cents"), [*DAY, "sysid"])
+    rows = orders.unionByName(cancels.select(*plain, F.col("order_cents").alias("cents")))
+    w = Window.partitionBy(*DAY, "direction").orderBy(F.desc("seqno"), "actiontype").rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(F.col("actiontype") == ORDER, F.struct("seqno", "volume", "cents", "sess", "bkt")), ignorenulls=True).over(w)
+    found = rows.withColumn("_n", following).where((F.col("actiontype") == CANCEL) & F.col("_n").isNotNull())
+    buy = F.col("direction") == "B"
+    ahead = F.when(buy, F.col("_n.cents") > F.col("cents")).otherwise(F.col("_n.cents") < F.col("cents"))
+    chased = found.where((F.col("_n.seqno") - F.col("seqno") <= gap) & (F.col("_n.volume") / F.col("volume")).between(low, high) & ahead)
+    volume = F.col("_n.volume")
+    return chased.groupBy(*DAY, "_n.sess", "_n.bkt").agg(
+        F.count("*").alias("n"), imbalance(sum_if(buy, volume), sum_if(~buy, volume)).alias("chase_imb")
     )
 
 
 def book_age(tape: DataFrame) -> DataFrame:
-    """Age of the resting volume at each minute's end, in changes: an order counts in full until it is filled or first cancelled.
+    """Log mean age of each side's resting volume at each minute's last event, in events, their difference and mean.
 
-    Births and deaths are summed as they come; what stands at a minute's end is the last running sum up to it.
+    An order counts in full until it is filled or first cancelled. Births and deaths are summed up by event first; what stands at a
+    minute's end is the last running sum up to it.
     """
-    orders = first_orders(tape)
-    ids = tape.where(F.col("actiontype") == TRADE).select(
-        *DAY, "seqno", "volume", F.explode(F.array("buyid", "sellid")).alias("sysid")
-    )
+    ours = in_sessions(tape)
+    orders = first_orders(ours)
+    ids = aggressor_side(ours, stated=False).select(*DAY, "seqno", "volume", F.explode(F.array("buyid", "sellid")).alias("sysid"))
     running = F.sum("volume").over(Window.partitionBy(*DAY, "sysid").orderBy("seqno"))
     full = (
         ids.withColumn("filled", running)
@@ -205,50 +215,48 @@ def book_age(tape: DataFrame) -> DataFrame:
         .groupBy(*DAY, "sysid")
         .agg(F.min("seqno").alias("full_seq"))
     )
-    cancels = tape.where(F.col("actiontype") == CANCEL).groupBy(*DAY, "sysid").agg(F.min("seqno").alias("cancel_seq"))
+    cancels = ours.where(F.col("actiontype") == CANCEL).groupBy(*DAY, "sysid").agg(F.min("seqno").alias("cancel_seq"))
     lives = orders.join(full, [*DAY, "sysid"], "left").join(cancels, [*DAY, "sysid"], "left")
-    moves = lives.select(
-        *DAY,
-        F.inline(
-            F.array(
-                F.struct(F.col("order_seq").alias("seqno"), F.col("order_volume").alias("dv"), (F.col("order_volume") * F.col("order_seq")).alias("db")),
-                F.struct(
-                    F.least("full_seq", "cancel_seq").alias("seqno"),
-                    (-F.col("order_volume")).alias("dv"),
-                    (-F.col("order_volume") * F.col("order_seq")).alias("db"),
-                ),
-            )
-        ),
-    ).where("seqno IS NOT NULL").groupBy(*DAY, "seqno").agg(F.sum("dv").alias("dv"), F.sum("db").alias("db"))
-    ends = in_sessions(tape).groupBy(*BUCKET).agg(F.max("seqno").alias("bound"))
-    both = moves.select(*DAY, "seqno", "dv", "db", F.lit(None).cast("int").alias("sess"), F.lit(None).cast("long").alias("bkt")).unionByName(
-        ends.select(*DAY, F.col("bound").alias("seqno"), F.lit(0).cast("long").alias("dv"), F.lit(0).cast("long").alias("db"), "sess", "bkt")
+    volume, born = F.col("order_volume"), F.col("order_volume") * F.col("order_seq")
+    buy = F.coalesce(F.col("order_side") == "B", F.lit(False))
+    move = lambda at, sign: F.struct(
+        at.alias("seqno"),
+        *[F.when(side, sign * x).otherwise(0).alias(name) for name, side, x in (("vb", buy, volume), ("bb", buy, born), ("vs", ~buy, volume), ("bs", ~buy, born))],
+    )
+    sums = ["vb", "bb", "vs", "bs"]
+    moves = (
+        lives.select(*DAY, F.inline(F.array(move(F.col("order_seq"), 1), move(F.least("full_seq", "cancel_seq"), -1))))
+        .where("seqno IS NOT NULL")
+        .groupBy(*DAY, "seqno")
+        .agg(*[F.sum(c).alias(c) for c in sums])
     )
+    ends = ours.groupBy(*BUCKET).agg(F.max("seqno").alias("seqno"))
+    both = moves.unionByName(ends, allowMissingColumns=True)
     w = Window.partitionBy(*DAY).orderBy("seqno").rangeBetween(Window.unboundedPreceding, 0)
-    return (
-        both.withColumns({"alive": F.sum("dv").over(w), "born": F.sum("db").over(w)})
-        .where("bkt IS NOT NULL")
-        .select(*BUCKET, "alive", ratio(F.col("seqno") * F.col("alive") - F.col("born"), F.col("alive")).alias("mean_age"))
+    standing = both.withColumns({c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in sums}).where("bkt IS NOT NULL")
+    age = lambda v, b: F.log1p(F.greatest(F.when(F.col(v) > 0, (F.col("seqno") * F.col(v) - F.col(b)) / F.col(v)), F.lit(0.0)))
+    aged = standing.select(
+        *BUCKET, F.col("vb").alias("alive_buy"), F.col("vs").alias("alive_sell"),
+        F.when(F.col("vb") > 0, age("vb", "bb")).alias("age_buy"), F.when(F.col("vs") > 0, age("vs", "bs")).alias("age_sell"),
+    )
+    return aged.withColumns(
+        {"age_imb": F.col("age_buy") - F.col("age_sell"), "age_mean": (F.col("age_buy") + F.col("age_sell")) / 2}
     )
 
 
 def refill(tape: DataFrame, cap: float = 5.0) -> DataFrame:
-    """Volume that comes back at price levels that were eaten in the same minute, against what was eaten, capped, by side."""
-    eaten = in_sessions(aggressor_side(tape)).groupBy(*BUCKET, cents(F.col("price")).alias("cents"), F.when(F.col("side") == "B", "S").otherwise("B").alias("rest_side")).agg(
+    """Volume that comes back at price levels that were eaten in the same minute, against what was eaten, capped, by side, and the difference."""
+    ours = in_sessions(tape)
+    level = cents(F.col("price")).alias("cents")
+    eaten = aggressor_side(ours, stated=False).groupBy(*BUCKET, level, F.when(F.col("side") == "B", "S").otherwise("B").alias("side")).agg(
         F.sum("volume").alias("eaten")
     )
-    back = in_sessions(tape.where((F.col("actiontype") == ORDER) & F.col("direction").isNotNull())).groupBy(
-        *BUCKET, cents(F.col("price")).alias("cents"), F.col("direction").alias("rest_side")
-    ).agg(F.sum("volume").alias("back"))
-    joined = eaten.join(back, [*BUCKET, "cents", "rest_side"])
-    by_side = joined.groupBy(*BUCKET, "rest_side").agg(
+    rested = F.when(F.col("direction") == "B", "B").otherwise("S").alias("side")
+    back = ours.where(F.col("actiontype") == ORDER).groupBy(*BUCKET, level, rested).agg(F.sum("volume").alias("back"))
+    by_side = eaten.join(back, [*BUCKET, "cents", "side"]).groupBy(*BUCKET, "side").agg(
         F.least(F.sum("back") / F.greatest(F.sum("eaten"), F.lit(1)), F.lit(cap)).alias("refill")
     )
-    return (
-        by_side.groupBy(*BUCKET)
-        .agg(F.max(F.when(F.col("rest_side") == "B", F.col("refill"))).alias("refill_bid"), F.max(F.when(F.col("rest_side") == "S", F.col("refill"))).alias("refill_ask"))
-        .withColumn("refill_imb", imbalance(F.coalesce("refill_bid", F.lit(0.0)), F.coalesce("refill_ask", F.lit(0.0))))
-    )
+    return _sides(by_side, "refill", "refill_bid", "refill_ask", None, "refill_imb")
 
 
 def sweep_budget(tape: DataFrame) -> DataFrame:

@@ -54,10 +54,17 @@ def cents(price: Column) -> Column:
     return F.floor((price + 1e-6) * 100).cast("long")
 
 
-def aggressor_side(df: DataFrame) -> DataFrame:
-    """Trades with the aggressor's side and the ids of both: the stated direction, else the later (greater) id."""
+def aggressor_side(df: DataFrame, stated: bool = True) -> DataFrame:
+    """Trades with the aggressor's side and the ids of both: the stated direction, else the later (greater) id.
+
+    Without ``stated`` the ids alone decide, and trades that lack one of them are left out.
+    """
     trades = df.where(F.col("actiontype") == TRADE)
-    buy = F.when(F.col("tradedirection") == 1, True).when(F.col("tradedirection") == 2, False).otherwise(F.col("buyid") > F.col("sellid"))
+    buy = F.col("buyid") > F.col("sellid")
+    if stated:
+        buy = F.when(F.col("tradedirection") == 1, True).when(F.col("tradedirection") == 2, False).otherwise(buy)
+    else:
+        trades = trades.where("buyid > 0 AND sellid > 0")
     return trades.withColumns(
         {
             "side": F.when(buy, "B").otherwise("S"),

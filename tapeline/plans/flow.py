@@ -31,6 +31,11 @@ trades AS (
   SELECT *, CASE WHEN CASE tradedirection WHEN 1 THEN true WHEN 2 THEN false ELSE buyid > sellid END THEN 'B' ELSE 'S' END AS side
   FROM timed WHERE actiontype = 2),
 sided AS (SELECT *, CASE side WHEN 'B' THEN buyid ELSE sellid END AS active_id, CASE side WHEN 'B' THEN sellid ELSE buyid END AS passive_id FROM trades),
+ours AS (
+  SELECT *, buyid > sellid AS by_buyer, CASE WHEN buyid > sellid THEN buyid ELSE sellid END AS late_id FROM sessed WHERE actiontype = 2 AND buyid > 0 AND sellid > 0),
+orders_in AS (
+  SELECT symbol, trade_date, sysid, seqno AS order_seq, coalesce(direction = 'B', false) AS is_buy, volume AS order_volume, cents AS order_cents
+  FROM sessed WHERE actiontype = 0 QUALIFY row_number() OVER (PARTITION BY symbol, trade_date, sysid ORDER BY seqno) = 1),
 orders_first AS (
   SELECT symbol, trade_date, sysid, seqno AS order_seq, ms AS order_ms, direction AS order_side, volume AS order_volume, cents AS order_cents, bkt, sess
   FROM timed WHERE actiontype = 0 QUALIFY row_number() OVER (PARTITION BY symbol, trade_date, sysid ORDER BY seqno) = 1)
@@ -75,7 +80,7 @@ _on_tape(
 , cut AS (SELECT symbol, trade_date, quantile_cont(volume, 0.9) AS large_at FROM sessed WHERE actiontype = 0 GROUP BY ALL),
 flows AS (
   SELECT {_B}, actiontype, direction, volume FROM sessed WHERE actiontype <> 2
-  UNION ALL SELECT {_B}, actiontype, side, volume FROM sided WHERE sess IS NOT NULL),
+  UNION ALL SELECT {_B}, actiontype, CASE WHEN by_buyer THEN 'B' ELSE 'S' END, volume FROM ours),
 sums AS (
   SELECT {_B}, count(*) FILTER (actiontype = 0) AS n_ord, count(*) FILTER (actiontype = 1) AS n_cxl,
     count(*) FILTER (actiontype = 0 AND direction = 'B') AS nb, count(*) FILTER (actiontype = 0 AND direction = 'S') AS ns,
@@ -87,28 +92,36 @@ SELECT {_B}, n_ord, n_cxl, {_r('vo::DOUBLE / nullif(n_ord, 0)', 'mean_size')}, {
   {_r(_imb('tb', 'ts'), 'trd_imb')}, {_r('n_cxl::DOUBLE / nullif(n_ord, 0)', 'cxl_ratio')}, {_r('vl::DOUBLE / nullif(vo, 0)', 'large_share')}
 FROM sums""",
 )
+_SUM = "coalesce(sum({0}) FILTER ({1}), 0)"
+
+
+def _sums(value: str, a: str, b: str) -> str:
+    return _imb(_SUM.format(value, a), _SUM.format(value, b))
+
+
 _on_tape(
     "cancel_life",
     flow.cancel_life,
     f"""
 , lived AS (
-  SELECT c.symbol, c.trade_date, c.sess, c.bkt, c.ms - o.order_ms AS life, c.volume, o.order_side
-  FROM sessed c JOIN orders_first o USING (symbol, trade_date, sysid) WHERE c.actiontype = 1)
-SELECT {_B}, count(*) AS n, median(life)::DOUBLE AS life_med, {_r('avg((life <= 1000)::INT)', 'flash_ratio')},
-  {_r(_imb("coalesce(sum(volume) FILTER (life <= 1000 AND order_side = 'B'), 0)", "coalesce(sum(volume) FILTER (life <= 1000 AND order_side = 'S'), 0)"), 'flash_imb')}
-FROM lived GROUP BY ALL""",
+  SELECT c.symbol, c.trade_date, c.sess, c.bkt, c.seqno - o.order_seq AS life, c.volume, coalesce(c.direction = 'B', false) AS buy
+  FROM sessed c JOIN orders_in o USING (symbol, trade_date, sysid) WHERE c.actiontype = 1 AND c.seqno > o.order_seq),
+cut AS (SELECT symbol, trade_date, quantile_cont(life, 0.1) AS q FROM lived GROUP BY ALL)
+SELECT {_B}, count(*) AS n, {_r('median(ln(1 + life))', 'life_med')}, {_r('sum(CASE WHEN life <= q THEN volume ELSE 0 END)::DOUBLE / nullif(sum(volume), 0)', 'flash_ratio')},
+  {_r(_sums('volume', 'life <= q AND buy', 'life <= q AND NOT buy'), 'flash_imb')}
+FROM lived JOIN cut USING (symbol, trade_date) GROUP BY ALL""",
 )
 _on_tape(
     "eaten_age",
     flow.eaten_age,
     f"""
-, aged AS (
-  SELECT t.symbol, t.trade_date, t.sess, t.bkt, t.side, t.volume, greatest(t.ms - o.order_ms, 0) / 1000 AS age
-  FROM sided t JOIN orders_first o ON o.symbol = t.symbol AND o.trade_date = t.trade_date AND o.sysid = t.passive_id WHERE t.sess IS NOT NULL),
-weighted AS (
-  SELECT {_B}, sum(volume * ln(1 + age)) FILTER (side = 'B') / sum(volume) FILTER (side = 'B') AS b,
-    sum(volume * ln(1 + age)) FILTER (side = 'S') / sum(volume) FILTER (side = 'S') AS s, median(age) AS m FROM aged GROUP BY ALL)
-SELECT {_B}, {_r(_imb('b', 's'), 'age_imb')}, {_r('m', 'age_med')} FROM weighted""",
+, aged AS (SELECT *, ln(1 + abs(buyid - sellid)) AS age FROM ours),
+day AS (SELECT symbol, trade_date, median(age) AS m FROM aged GROUP BY ALL),
+sums AS (
+  SELECT {_B}, sum(volume * age) FILTER (by_buyer) / sum(volume) FILTER (by_buyer) AS b, sum(volume * age) FILTER (NOT by_buyer) / sum(volume) FILTER (NOT by_buyer) AS s,
+    median(age) AS m, {_sums('volume', 'age >= day.m AND by_buyer', 'age >= day.m AND NOT by_buyer')} AS old
+  FROM aged JOIN day USING (symbol, trade_date) GROUP BY ALL)
+SELECT {_B}, {_r(_imb('b', 's'), 'age_imb')}, {_r('m', 'age_med')}, {_r('old', 'old_imb')} FROM sums""",
 )
 _on_tape(
     "aggressor_moves",
@@ -123,83 +136,82 @@ _on_tape(
     "aggressor_hhi",
     flow.aggressor_hhi,
     f"""
-, ids AS (SELECT {_B}, side, active_id, sum(volume)::DOUBLE AS v FROM sided WHERE sess IS NOT NULL GROUP BY ALL),
-sides AS (SELECT {_B}, side, sum(v * v) / (sum(v) * sum(v)) AS hhi FROM ids GROUP BY ALL),
-pairs AS (SELECT {_B}, max(hhi) FILTER (side = 'B') AS b, max(hhi) FILTER (side = 'S') AS s FROM sides GROUP BY ALL)
-SELECT {_B}, {_r('b', 'hhi_buy')}, {_r('s', 'hhi_sell')}, {_r(_imb('coalesce(b, 0)', 'coalesce(s, 0)'), 'hhi_imb')} FROM pairs""",
+, ids AS (SELECT {_B}, by_buyer, late_id, sum(volume)::DOUBLE AS v FROM ours GROUP BY ALL),
+shares AS (SELECT {_B}, by_buyer, v / sum(v) OVER (PARTITION BY {_B}, by_buyer) AS share FROM ids),
+pairs AS (SELECT {_B}, sum(share * share) FILTER (by_buyer) AS b, sum(share * share) FILTER (NOT by_buyer) AS s FROM shares GROUP BY ALL)
+SELECT {_B}, {_r('b', 'hhi_buy')}, {_r('s', 'hhi_sell')}, {_r('(b + s) / 2', 'hhi_mean')}, {_r('b - s', 'hhi_imb')} FROM pairs""",
 )
 _on_tape(
     "order_chains",
     flow.order_chains,
     f"""
 , before AS (
-  SELECT *, lag(direction) OVER w AS s, lag(seqno) OVER w AS q, lag(volume) OVER w AS v FROM sessed WHERE actiontype = 0
-  WINDOW w AS (PARTITION BY symbol, trade_date, sess ORDER BY seqno)),
+  SELECT *, coalesce(direction = 'B', false) AS buy, lag(coalesce(direction = 'B', false)) OVER w AS s, lag(sysid) OVER w AS q, lag(volume) OVER w AS v
+  FROM sessed WHERE actiontype = 0 WINDOW w AS (PARTITION BY symbol, trade_date ORDER BY sysid, seqno)),
 chained AS (
-  SELECT *, sum((q IS NULL OR direction IS DISTINCT FROM s OR seqno - q > 64 OR greatest(volume, v) > 2 * least(volume, v))::INT)
-    OVER (PARTITION BY symbol, trade_date, sess ORDER BY seqno) AS chain FROM before),
-long AS (SELECT *, count(*) OVER (PARTITION BY symbol, trade_date, sess, chain) >= 3 AS inside FROM chained)
-SELECT {_B}, {_r('avg(inside::INT)', 'chain_share')},
-  {_r(_imb("coalesce(sum(volume) FILTER (inside AND direction = 'B'), 0)", "coalesce(sum(volume) FILTER (inside AND direction = 'S'), 0)"), 'chain_imb')}
+  SELECT *, sum((q IS NULL OR buy <> s OR sysid - q > 64 OR greatest(volume, v)::DOUBLE / greatest(1, least(volume, v)) > 2)::INT)
+    OVER (PARTITION BY symbol, trade_date ORDER BY sysid, seqno) AS chain FROM before),
+long AS (SELECT *, count(*) OVER (PARTITION BY symbol, trade_date, chain) >= 3 AS inside FROM chained)
+SELECT {_B}, {_r("coalesce(sum(volume) FILTER (inside), 0)::DOUBLE / nullif(sum(volume), 0)", 'chain_share')}, {_r(_sums('volume', 'inside AND buy', 'inside AND NOT buy'), 'chain_imb')}
 FROM long GROUP BY ALL""",
 )
 _on_tape(
     "kept_residual",
     flow.kept_residual,
     f"""
-, fills AS (SELECT symbol, trade_date, active_id AS sysid, sum(volume) AS filled, max(seqno) AS last_fill FROM sided GROUP BY ALL),
-cancels AS (SELECT symbol, trade_date, sysid, min(seqno) AS cancel_seq FROM timed WHERE actiontype = 1 GROUP BY ALL),
+, fills AS (SELECT symbol, trade_date, sysid, sum(volume) AS filled FROM (SELECT symbol, trade_date, unnest([buyid, sellid]) AS sysid, volume FROM ours) GROUP BY ALL),
+lasts AS (SELECT symbol, trade_date, late_id AS sysid, max(seqno) AS last_seq, arg_max(sess, seqno) AS sess, arg_max(bkt, seqno) AS bkt FROM ours GROUP BY ALL),
+cancels AS (SELECT symbol, trade_date, sysid, min(seqno) AS cancel_seq FROM sessed WHERE actiontype = 1 GROUP BY ALL),
 rest AS (
-  SELECT o.*, order_volume - filled AS residual, coalesce(cancel_seq < last_fill OR cancel_seq > last_fill + 5000, true) AS kept
-  FROM orders_first o JOIN fills USING (symbol, trade_date, sysid) LEFT JOIN cancels USING (symbol, trade_date, sysid)
-  WHERE order_volume > filled AND sess IS NOT NULL)
-SELECT {_B}, count(*) AS n,
-  {_r(_imb("coalesce(sum(residual) FILTER (kept AND order_side = 'B'), 0)", "coalesce(sum(residual) FILTER (kept AND order_side = 'S'), 0)"), 'kept_imb')}
-FROM rest GROUP BY ALL""",
+  SELECT l.*, is_buy, greatest(order_volume - filled, 0) AS rem, cancel_seq
+  FROM lasts l JOIN orders_in USING (symbol, trade_date, sysid) JOIN fills USING (symbol, trade_date, sysid) LEFT JOIN cancels USING (symbol, trade_date, sysid))
+SELECT {_B}, count(*) AS n, {_r(_sums('rem', 'is_buy', 'NOT is_buy'), 'kept_imb')}
+FROM rest WHERE rem > 0 AND (cancel_seq IS NULL OR cancel_seq - last_seq > 5000) GROUP BY ALL""",
 )
 _on_tape(
     "chases",
     flow.chases,
     f"""
-, o AS (SELECT symbol, trade_date, direction, seqno, volume, cents FROM timed WHERE actiontype = 0 AND direction IS NOT NULL),
-c AS (SELECT * FROM sessed WHERE actiontype = 1 AND direction IS NOT NULL),
+, o AS (SELECT symbol, trade_date, direction, seqno, volume, cents, sess, bkt FROM sessed WHERE actiontype = 0 AND direction IS NOT NULL),
+c AS (SELECT c.*, order_cents FROM sessed c JOIN orders_in USING (symbol, trade_date, sysid) WHERE actiontype = 1 AND direction IS NOT NULL),
 found AS (
-  SELECT c.*, o.seqno AS nseq, o.volume AS nvol, o.cents AS ncents FROM c ASOF JOIN o
-  ON o.symbol = c.symbol AND o.trade_date = c.trade_date AND o.direction = c.direction AND c.seqno <= o.seqno),
-chased AS (SELECT *, ncents > cents AS up FROM found WHERE nseq - seqno <= 256 AND nvol::DOUBLE / volume BETWEEN 0.7 AND 1.4 AND ncents <> cents)
-SELECT {_B}, count(*) AS n,
-  {_r(_imb("coalesce(sum(volume) FILTER (direction = 'B' AND up), 0)", "coalesce(sum(volume) FILTER (direction = 'S' AND NOT up), 0)"), 'chase_imb')}
-FROM chased GROUP BY ALL""",
+  SELECT o.symbol, o.trade_date, o.sess, o.bkt, c.direction = 'B' AS buy, o.seqno - c.seqno AS gap, o.volume, o.volume::DOUBLE / c.volume AS size, o.cents, c.order_cents
+  FROM c ASOF JOIN o ON o.symbol = c.symbol AND o.trade_date = c.trade_date AND o.direction = c.direction AND c.seqno <= o.seqno)
+SELECT {_B}, count(*) AS n, {_r(_sums('volume', 'buy', 'NOT buy'), 'chase_imb')}
+FROM found WHERE gap <= 256 AND size BETWEEN 0.7 AND 1.4 AND CASE WHEN buy THEN cents > order_cents ELSE cents < order_cents END GROUP BY ALL""",
 )
 _on_tape(
     "book_age",
     flow.book_age,
     f"""
-, ids AS (SELECT symbol, trade_date, seqno, volume, unnest([buyid, sellid]) AS sysid FROM timed WHERE actiontype = 2),
+, ids AS (SELECT symbol, trade_date, seqno, volume, unnest([buyid, sellid]) AS sysid FROM ours),
 running AS (SELECT symbol, trade_date, sysid, seqno, sum(volume) OVER (PARTITION BY symbol, trade_date, sysid ORDER BY seqno) AS filled FROM ids),
 full_ AS (
-  SELECT symbol, trade_date, sysid, min(seqno) AS full_seq FROM running JOIN orders_first USING (symbol, trade_date, sysid)
+  SELECT symbol, trade_date, sysid, min(seqno) AS full_seq FROM running JOIN orders_in USING (symbol, trade_date, sysid)
   WHERE filled >= order_volume GROUP BY ALL),
-cancels AS (SELECT symbol, trade_date, sysid, min(seqno) AS cancel_seq FROM timed WHERE actiontype = 1 GROUP BY ALL),
-lives AS (SELECT o.*, least(full_seq, cancel_seq) AS death FROM orders_first o LEFT JOIN full_ USING (symbol, trade_date, sysid) LEFT JOIN cancels USING (symbol, trade_date, sysid)),
+cancels AS (SELECT symbol, trade_date, sysid, min(seqno) AS cancel_seq FROM sessed WHERE actiontype = 1 GROUP BY ALL),
+lives AS (SELECT o.*, coalesce(least(full_seq, cancel_seq), 9223372036854775807) AS death FROM orders_in o LEFT JOIN full_ USING (symbol, trade_date, sysid) LEFT JOIN cancels USING (symbol, trade_date, sysid)),
 ends AS (SELECT {_B}, max(seqno) AS bound FROM sessed GROUP BY ALL),
+alive AS (
+  SELECT e.symbol, e.trade_date, e.sess, e.bkt, e.bound, is_buy, (order_seq <= bound)::INT - (death <= bound)::INT AS sign, order_volume, order_seq
+  FROM ends e LEFT JOIN lives l ON l.symbol = e.symbol AND l.trade_date = e.trade_date),
 summed AS (
-  SELECT e.symbol, e.trade_date, e.sess, e.bkt, e.bound, coalesce(sum(CASE WHEN l.order_seq <= bound THEN order_volume ELSE 0 END - CASE WHEN l.death <= bound THEN order_volume ELSE 0 END), 0) AS alive,
-    coalesce(sum(CASE WHEN l.order_seq <= bound THEN order_volume * order_seq ELSE 0 END - CASE WHEN l.death <= bound THEN order_volume * order_seq ELSE 0 END), 0) AS born
-  FROM ends e LEFT JOIN lives l ON l.symbol = e.symbol AND l.trade_date = e.trade_date GROUP BY ALL)
-SELECT {_B}, alive::BIGINT AS alive, {_r('(bound * alive - born)::DOUBLE / nullif(alive, 0)', 'mean_age')} FROM summed""",
+  SELECT {_B}, bound, {_SUM.format('sign * order_volume', 'is_buy')} AS vb, {_SUM.format('sign * order_volume', 'NOT is_buy')} AS vs,
+    {_SUM.format('sign * order_volume * (bound - order_seq)', 'is_buy')} AS ab, {_SUM.format('sign * order_volume * (bound - order_seq)', 'NOT is_buy')} AS as_
+  FROM alive GROUP BY ALL),
+ages AS (
+  SELECT *, CASE WHEN vb > 0 THEN ln(1 + greatest(ab::DOUBLE / vb, 0)) END AS b, CASE WHEN vs > 0 THEN ln(1 + greatest(as_::DOUBLE / vs, 0)) END AS s FROM summed)
+SELECT {_B}, vb::BIGINT AS alive_buy, vs::BIGINT AS alive_sell, {_r('b', 'age_buy')}, {_r('s', 'age_sell')}, {_r('b - s', 'age_imb')}, {_r('(b + s) / 2', 'age_mean')} FROM ages""",
 )
 _on_tape(
     "refill",
     flow.refill,
     f"""
-, eaten AS (SELECT {_B}, cents, CASE side WHEN 'B' THEN 'S' ELSE 'B' END AS rest_side, sum(volume) AS eaten FROM sided WHERE sess IS NOT NULL GROUP BY ALL),
-back AS (SELECT {_B}, cents, direction AS rest_side, sum(volume) AS back FROM sessed WHERE actiontype = 0 AND direction IS NOT NULL GROUP BY ALL),
-sides AS (
-  SELECT {_B}, rest_side, least(sum(back)::DOUBLE / greatest(sum(eaten), 1), 5.0) AS r
-  FROM eaten JOIN back USING ({_B}, cents, rest_side) GROUP BY ALL),
-pairs AS (SELECT {_B}, max(r) FILTER (rest_side = 'B') AS b, max(r) FILTER (rest_side = 'S') AS s FROM sides GROUP BY ALL)
-SELECT {_B}, {_r('b', 'refill_bid')}, {_r('s', 'refill_ask')}, {_r(_imb('coalesce(b, 0)', 'coalesce(s, 0)'), 'refill_imb')} FROM pairs""",
+, eaten AS (SELECT {_B}, cents, NOT by_buyer AS buy, sum(volume) AS eaten FROM ours GROUP BY ALL),
+back AS (SELECT {_B}, cents, coalesce(direction = 'B', false) AS buy, sum(volume) AS back FROM sessed WHERE actiontype = 0 GROUP BY ALL),
+sides AS (SELECT {_B}, buy, least(sum(back)::DOUBLE / greatest(sum(eaten), 1), 5.0) AS r FROM eaten JOIN back USING ({_B}, cents, buy) GROUP BY ALL),
+pairs AS (SELECT {_B}, max(r) FILTER (buy) AS b, max(r) FILTER (NOT buy) AS s FROM sides GROUP BY ALL)
+SELECT {_B}, {_r('b', 'refill_bid')}, {_r('s', 'refill_ask')}, {_r('b - s', 'refill_imb')} FROM pairs""",
 )
 _on_tape(
     "sweep_budget",
