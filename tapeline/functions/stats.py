@@ -34,31 +34,40 @@ def pct_rank(x: Column, within: list[str]) -> Column:
 
 
 def zscore(x: Column, within: list[str]) -> Column:
+    """Distance from the mean in deviations (n - 1); a deviation of zero counts as one, a single row has none."""
     w = Window.partitionBy(*within)
-    return ratio(x - F.avg(x).over(w), F.stddev_samp(x).over(w))
+    deviation = F.stddev_samp(x).over(w)
+    return (x - F.avg(x).over(w)) / F.when(deviation == 0, 1.0).otherwise(deviation)
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation as an aggregate from sums; null where either side is constant. Rows with a null are left out."""
+    """Pearson correlation as an aggregate of centred moments, at any scale; null where either side is constant. Rows with a null are left out."""
     both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    n = F.count(a)
-    top = n * F.sum(a * b) - F.sum(a) * F.sum(b)
-    va, vb = n * F.sum(a * a) - F.sum(a) * F.sum(a), n * F.sum(b * b) - F.sum(b) * F.sum(b)
-    tiny = 1e-9
-    return F.when((va > tiny) & (vb > tiny), F.try_divide(top, F.sqrt(va) * F.sqrt(vb)))
+    a, b = F.when(both, x).cast("double"), F.when(both, y).cast("double")
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def rank_ic(df: DataFrame, x: str, y: str, within: list[str], least: int) -> DataFrame:
-    """Rank correlation of ``x`` and ``y`` in each cross-section with at least ``least`` complete rows: within, n, ic."""
+def rank_ic(df: DataFrame, x: str, y: str, within: list[str], least: int, distinct: int = 2) -> DataFrame:
+    """Rank correlation of ``x`` and ``y`` in each cross-section with at least ``least`` complete rows: within, n, ic.
+
+    Cross-sections with fewer than ``distinct`` values of ``x`` or two of ``y`` are left out; each of n equal values is
+    the n-th part of a distinct one, so the ties that the ranks need count them without a sort of their own.
+    """
     full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    share = lambda c: 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*within, c))
     ranked = full.select(
-        *within, average_rank(F.col(x), within).alias("_rx"), average_rank(F.col(y), within).alias("_ry")
+        *within, average_rank(F.col(x), within).alias("_rx"), average_rank(F.col(y), within).alias("_ry"), share(x).alias("_dx"), share(y).alias("_dy")
     )
     return (
         ranked.groupBy(*within)
-        .agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_rx"), F.col("_ry")).alias("ic"))
-        .where(F.col("n") >= least)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.round(correlation(F.col("_rx"), F.col("_ry")), 12).alias("ic"),  # a correlation of zero has no sign
+            F.round(F.sum("_dx")).alias("_dx"),
+            F.round(F.sum("_dy")).alias("_dy"),
+        )
+        .where((F.col("n") >= least) & (F.col("_dx") >= distinct) & (F.col("_dy") >= 2))
+        .select(*within, "n", "ic")
     )
 
 

@@ -28,15 +28,15 @@ def stamped(bars: DataFrame) -> DataFrame:
 def minutes(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """One sane bar for each ticker, session and minute: the last by stamp, then by ``loaded_at``, then by ``bar_id``.
 
-    Columns: SERIES, ``minute`` (from 0 at the open), ``length`` of the session in minutes, open, high, low, close, volume.
+    Columns: SERIES, ``minute`` (from 0 at the open), ``length`` of the session in minutes, open, high, low, close, volume, n_trans.
     """
     inside = in_session(stamped(bars).where(sane()), sessions)
     minute = F.round((F.col("ns") - F.col("open_ns") - F.pmod(F.col("ns") - F.col("open_ns"), F.lit(MINUTE_NS))) / MINUTE_NS).cast("int")
     length = F.round((F.col("close_ns") - F.col("open_ns")) / MINUTE_NS).cast("int")
     return (
         inside.groupBy(*SERIES, minute.alias("minute"), length.alias("length"))
-        .agg(F.max(F.struct("ns", "loaded_at", "bar_id", *PRICES, "volume")).alias("_r"))
-        .select(*SERIES, "minute", "length", *[F.col(f"_r.{c}").alias(c) for c in [*PRICES, "volume"]])
+        .agg(F.max(F.struct("ns", "loaded_at", "bar_id", *PRICES, "volume", "n_trans")).alias("_r"))
+        .select(*SERIES, "minute", "length", *[F.col(f"_r.{c}").alias(c) for c in [*PRICES, "volume", "n_trans"]])
     )
 
 
@@ -48,6 +48,12 @@ def on_grid(bars: DataFrame) -> DataFrame:
     return grid.join(bars.drop("length"), [*SERIES, "minute"], "left").withColumn("observed", F.col("close").isNotNull())
 
 
+def priced(grid: DataFrame) -> DataFrame:
+    """The grid as features and labels see it: a bar without volume is no price, so its fields are null and it counts as not observed."""
+    traded = F.col("volume") > 0
+    return grid.withColumns({c: F.when(traded, F.col(c)) for c in [*PRICES, "volume"]}).withColumn("observed", F.col("close").isNotNull())
+
+
 def complete(x: Column, w, n: int) -> Column:
     """True where all ``n`` rows of the window have a value."""
     return F.count(x).over(w) == n
@@ -90,25 +96,35 @@ def labels(grid: DataFrame, horizons: tuple[int, ...] = (5, 15), skip: int = 1)
     )
 
 
-def rolling_factors(grid: DataFrame, n: int = 15) -> DataFrame:
-    """Rolling factors of bars: Parkinson range, Amihud illiquidity, distance from VWAP, place in the range, volume acceleration."""
+def rolling_factors(grid: DataFrame, hour: int = 60, long: int = 240) -> DataFrame:
+    """Factors of bars by minute: returns over five spans, volatility over two, range, Parkinson range, volume against its means,
+    mean trade size, distance from the bar's VWAP, place in the long range, volume acceleration, illiquidity.
+
+    Returns look at rows back in the grid, whose missing minutes are null; means take what there is of their window,
+    volatilities want all of it. The spans end at the session's open.
+    """
     order = Window.partitionBy(*SERIES).orderBy("minute")
-    w = order.rowsBetween(-n + 1, 0)
-    full = F.count("close").over(w) >= n // 2
-    park = F.log(ratio(F.col("high"), F.col("low")))
-    ret = F.abs(ratio(F.col("close"), F.lag("close").over(order)) - 1)
-    staged = grid.withColumns({"_p": park * park, "_i": ratio(ret, F.col("close") * F.col("volume"))})
-    low, high = F.min("low").over(w), F.max("high").over(w)
-    vwap = ratio(F.sum(F.col("close") * F.col("volume")).over(w), F.sum("volume").over(w))
-    half = order.rowsBetween(-(n // 2) + 1, 0)
+    close, volume = F.col("close"), F.col("volume")
+    back = lambda n: ratio(close, F.lag("close", n).over(order)) - 1
+    last = lambda n: order.rowsBetween(-n + 1, 0)
+    staged = grid.withColumns({"ret_1": back(1), **{f"ret_{n}": back(n) for n in (5, 15, hour, long)}})
+    spread = lambda n: F.when(complete(F.col("ret_1"), last(n), n), F.stddev_samp("ret_1").over(last(n)) * n**0.5)
+    low, high = F.min("low").over(last(long)), F.max("high").over(last(long))
+    wide = F.log(ratio(F.col("high"), F.col("low")))
     return staged.select(
         *SERIES,
         "minute",
-        F.when(full, F.sqrt(F.avg("_p").over(w) / 2.772588722239781)).alias("parkinson"),
-        F.when(full, F.avg("_i").over(w) * 1e9).alias("amihud"),
-        F.when(full, ratio(F.col("close"), vwap) - 1).alias("vwap_dev"),
-        F.when(full, ratio(F.col("close") - low, high - low)).alias("place"),
-        F.when(full, ratio(F.avg("volume").over(half), F.avg("volume").over(w))).alias("volume_acc"),
+        *[f"ret_{n}" for n in (1, 5, 15, hour, long)],
+        spread(hour).alias("rv_hour"),
+        spread(long).alias("rv_long"),
+        ratio(F.col("high") - F.col("low"), close).alias("range_pct"),
+        (wide * wide / 2.772588722239781).alias("parkinson"),
+        ratio(volume, F.avg("volume").over(last(hour))).alias("volume_ratio_hour"),
+        ratio(volume, F.avg("volume").over(last(long))).alias("volume_ratio_long"),
+        ratio(volume, F.col("n_trans")).alias("trade_size"),
+        ratio(close - low, high - low).alias("place"),
+        ratio(F.sum("volume").over(last(hour)) / hour, F.sum("volume").over(last(long)) / long).alias("volume_acc"),
+        (ratio(F.abs("ret_1"), volume) * 1e9).alias("amihud"),
     )
 
 

@@ -25,9 +25,15 @@ def summary(values: DataFrame, by: list[str], x: str) -> DataFrame:
     )
 
 
-def ic_by_time(panel: DataFrame, feature: str, label: str, time: list[str], least: int) -> DataFrame:
+def ic_by_time(panel: DataFrame, feature: str, label: str, time: list[str], least: int, distinct: int = 2) -> DataFrame:
     """Rank correlation over the names of each moment."""
-    return rank_ic(panel, feature, label, time, least)
+    return rank_ic(panel, feature, label, time, least, distinct)
+
+
+def ic_by_horizon(panel: DataFrame, feature: str, labels: dict[int, str], time: list[str], least: int) -> DataFrame:
+    """Rank correlation of a feature with the labels of several horizons at each moment, all ranked in one pass over the panel."""
+    long = panel.select(*time, feature, F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("_label")) for h, c in labels.items()])))
+    return rank_ic(long, feature, "_label", [*time, "horizon"], least)
 
 
 def ic_by_series(panel: DataFrame, feature: str, label: str, series: list[str], least: int) -> DataFrame:
@@ -140,8 +146,9 @@ def gram(panel: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     )
 
 
-def walk_forward(panel: DataFrame, features: list[str], label: str, day: str, penalty: float, least: int) -> DataFrame:
-    """Ridge weights for each day from all days before it: day, ``feature``, ``weight``.
+def walk_forward(panel: DataFrame, features: list[str], label: str, day: str, penalty: float, least: int, embargo: int = 1) -> DataFrame:
+    """Ridge weights for each day from all days before it but the last ``embargo``: day, ``feature``, ``weight``. No intercept;
+    the penalty is ``penalty`` times the number of rows.
 
     The sums of products are made a day at a time and run on over the days as a window, so each row of the data is read
     once; only the solution of a system as large as the features is left to Python, a day a row.
@@ -149,7 +156,7 @@ def walk_forward(panel: DataFrame, features: list[str], label: str, day: str, pe
     columns = [*features, label]
     ranked = panel.select(day, *[F.col(c) for c in columns])
     sums = gram(ranked, columns, [day])
-    before = Window.partitionBy("a", "b").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("a", "b").orderBy(day).rowsBetween(Window.unboundedPreceding, -1 - embargo)
     past = sums.withColumns({"_p": F.sum("product").over(before), "_n": F.sum("n").over(before)}).where(F.col("_n") >= least)
     rows = past.groupBy(day).agg(F.max("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "a", "b"), "_p"))).alias("p"))
 

@@ -18,11 +18,14 @@ MINUTES = f"""
 stamped AS (SELECT *, {_NS} AS ns, {_SANE} AS ok FROM minute_bars WHERE ticker IS NOT NULL),
 minutes AS (
   SELECT ticker, session_date, CAST((ns - open_ns) // 60000000000 AS INTEGER) AS minute, CAST((close_ns - open_ns) // 60000000000 AS INTEGER) AS length,
-         open, high, low, close, volume
+         open, high, low, close, volume, n_trans
   FROM stamped JOIN sessions ON ns >= open_ns AND ns < close_ns WHERE ok
   QUALIFY row_number() OVER (PARTITION BY ticker, session_date, (ns - open_ns) // 60000000000 ORDER BY ns DESC, loaded_at DESC, bar_id DESC) = 1),
 spine AS (SELECT ticker, session_date, unnest(generate_series(0, length - 1))::INTEGER AS minute FROM (SELECT DISTINCT ticker, session_date, length FROM minutes)),
-grid AS (SELECT s.ticker, s.session_date, s.minute, open, high, low, close, volume, close IS NOT NULL AS observed FROM spine s LEFT JOIN minutes m USING (ticker, session_date, minute)),
+bars_grid AS (SELECT s.ticker, s.session_date, s.minute, close IS NOT NULL AS observed FROM spine s LEFT JOIN minutes m USING (ticker, session_date, minute)),
+grid AS (
+  SELECT s.ticker, s.session_date, s.minute, open, high, low, close, volume, n_trans, close IS NOT NULL AS observed
+  FROM spine s LEFT JOIN (SELECT * FROM minutes WHERE volume > 0) m USING (ticker, session_date, minute)),
 stepped AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY ticker, session_date ORDER BY minute)) AS one FROM grid),
 panel AS (
   SELECT *,
@@ -51,7 +54,7 @@ LEAST = 5
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """Features and labels on the grid; both share one partitioning and order, so one sort serves all windows."""
     grid = bars.on_grid(bars.minutes(table(spark, d, "minute_bars"), table(spark, d, "sessions")))
-    return bars.labels(bars.features(grid))
+    return bars.labels(bars.features(bars.priced(grid)))
 
 
 def _on_panel(name: str, build: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -71,13 +74,14 @@ def ranks(x: str, y: str, by: str, source: str = "panel", z: str | None = None)
 def corr(a: str, b: str) -> str:
     """SQL of the guarded correlation."""
     both = f"FILTER ({a} IS NOT NULL AND {b} IS NOT NULL)"
-    n, sa, sb = f"count(*) {both}", f"sum({a}) {both}", f"sum({b}) {both}"
-    va, vb = f"({n} * sum({a} * {a}) {both} - {sa} * {sa})", f"({n} * sum({b} * {b}) {both} - {sb} * {sb})"
-    return f"CASE WHEN {va} > 1e-9 AND {vb} > 1e-9 THEN ({n} * sum({a} * {b}) {both} - {sa} * {sb}) / (sqrt({va}) * sqrt({vb})) END"
+    return f"CASE WHEN var_pop({a}) {both} > 0 AND var_pop({b}) {both} > 0 THEN corr({a}, {b}) {both} END"
 
 
-def _ic(x: str, y: str, by: str, least: int, source: str = "panel") -> str:
-    return f"SELECT {by}, count(*) AS n, {corr('rx', 'ry')} AS ic FROM ({ranks(x, y, by, source)}) GROUP BY ALL HAVING count(*) >= {least}"
+def _ic(x: str, y: str, by: str, least: int, source: str = "panel", distinct: int = 2) -> str:
+    return (
+        f"SELECT {by}, count(*) AS n, round({corr('rx', 'ry')}, 12) AS ic FROM ({ranks(x, y, by, source)}) GROUP BY ALL "
+        f"HAVING count(*) >= {least} AND count(DISTINCT {x}) >= {distinct} AND count(DISTINCT {y}) >= 2"
+    )
 
 
 _SUMMARY = """count(*) AS n, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std,
@@ -93,8 +97,8 @@ _on_panel(
 )
 _on_panel(
     "rank_ic",
-    lambda p: evaluate.ic_by_time(p, "ret_5", "label_5", TIME, LEAST),
-    f"SELECT * REPLACE (round(ic, 6) AS ic) FROM ({_ic('ret_5', 'label_5', _T, LEAST)})",
+    lambda p: evaluate.ic_by_time(p, "ret_5", "label_5", TIME, LEAST, 3),
+    f"SELECT * REPLACE (round(ic, 6) AS ic) FROM ({_ic('ret_5', 'label_5', _T, LEAST, distinct=3)})",
 )
 _on_panel(
     "rank_ic_summary",
@@ -120,13 +124,7 @@ _on_panel(
 )
 _on_panel(
     "ic_decay",
-    lambda p: evaluate.summary(
-        evaluate.ic_by_time(p, "ret_15", "label_5", TIME, LEAST).withColumn("horizon", F.lit(5)).unionByName(
-            evaluate.ic_by_time(p, "ret_15", "label_15", TIME, LEAST).withColumn("horizon", F.lit(15))
-        ),
-        ["horizon"],
-        "ic",
-    ),
+    lambda p: evaluate.summary(evaluate.ic_by_horizon(p, "ret_15", {5: "label_5", 15: "label_15"}, TIME, LEAST), ["horizon"], "ic"),
     f""", both_ AS (SELECT 5 AS horizon, ic FROM ({_ic('ret_15', 'label_5', _T, LEAST)}) UNION ALL SELECT 15, ic FROM ({_ic('ret_15', 'label_15', _T, LEAST)}))
 SELECT horizon, {_SUMMARY.format('ic')} FROM both_ WHERE ic IS NOT NULL GROUP BY ALL""",
 )
@@ -182,7 +180,7 @@ _on_panel(
 _on_panel(
     "zscores",
     lambda p: p.where("ret_5 IS NOT NULL").select("ticker", *TIME, zscore(F.col("ret_5"), TIME).alias("z")),
-    f"""SELECT ticker, {_T}, round((ret_5 - avg(ret_5) OVER (PARTITION BY {_T})) / nullif(stddev_samp(ret_5) OVER (PARTITION BY {_T}), 0), 6) AS z
+    f"""SELECT ticker, {_T}, round((ret_5 - avg(ret_5) OVER (PARTITION BY {_T})) / CASE WHEN stddev_samp(ret_5) OVER (PARTITION BY {_T}) = 0 THEN 1 ELSE stddev_samp(ret_5) OVER (PARTITION BY {_T}) END, 6) AS z
 FROM panel WHERE ret_5 IS NOT NULL""",
 )
 _on_panel(
@@ -206,16 +204,19 @@ b AS (SELECT {_T}, label_5, row_number() OVER (PARTITION BY {_T} ORDER BY md5(ti
 mixed AS (SELECT a.ticker, a.session_date, a.minute, a.ret_5, b.label_5 FROM a JOIN b USING ({_T}, i))
 SELECT * REPLACE (round(ic, 6) AS ic) FROM ({_ic('ret_5', 'label_5', _T, LEAST, 'mixed')})""",
 )
+_RETURNS = ", ".join(f"close / lag(close, {n}) OVER w - 1 AS ret_{n}" for n in (1, 5, 15, 60, 240))
+_SPANS = ", ".join(f"r{n} AS (PARTITION BY ticker, session_date ORDER BY minute ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (60, 240))
 _on_panel(
     "rolling_factors",
     bars.rolling_factors,
-    """, staged AS (SELECT *, pow(ln(high / low), 2) AS p, abs(close / lag(close) OVER (PARTITION BY ticker, session_date ORDER BY minute) - 1) / nullif(close * volume, 0) AS i FROM grid),
-rolled AS (SELECT ticker, session_date, minute, count(close) OVER w >= 7 AS ok, avg(p) OVER w AS p, avg(i) OVER w AS i, sum(close * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vwap,
-  min(low) OVER w AS lo, max(high) OVER w AS hi, avg(volume) OVER h AS vh, avg(volume) OVER w AS vw, close
-  FROM staged WINDOW w AS (PARTITION BY ticker, session_date ORDER BY minute ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), h AS (PARTITION BY ticker, session_date ORDER BY minute ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-SELECT ticker, session_date, minute, round(CASE WHEN ok THEN sqrt(p / 2.772588722239781) END, 6) AS parkinson, round(CASE WHEN ok THEN i * 1e9 END, 6) AS amihud,
-  round(CASE WHEN ok THEN close / vwap - 1 END, 6) AS vwap_dev, round(CASE WHEN ok THEN (close - lo) / nullif(hi - lo, 0) END, 6) AS place, round(CASE WHEN ok THEN vh / nullif(vw, 0) END, 6) AS volume_acc
-FROM rolled""",
+    f""", staged AS (SELECT *, {_RETURNS} FROM grid WINDOW w AS (PARTITION BY ticker, session_date ORDER BY minute))
+SELECT ticker, session_date, minute, {', '.join(f'round(ret_{n}, 6) AS ret_{n}' for n in (1, 5, 15, 60, 240))},
+  round(CASE WHEN count(ret_1) OVER r60 = 60 THEN stddev_samp(ret_1) OVER r60 * sqrt(60) END, 6) AS rv_hour, round(CASE WHEN count(ret_1) OVER r240 = 240 THEN stddev_samp(ret_1) OVER r240 * sqrt(240) END, 6) AS rv_long,
+  round((high - low) / close, 6) AS range_pct, round(pow(ln(high / low), 2) / 2.772588722239781, 6) AS parkinson,
+  round(volume / nullif(avg(volume) OVER r60, 0), 6) AS volume_ratio_hour, round(volume / nullif(avg(volume) OVER r240, 0), 6) AS volume_ratio_long, round(volume / nullif(n_trans, 0), 6) AS trade_size,
+  round((close - min(low) OVER r240) / nullif(max(high) OVER r240 - min(low) OVER r240, 0), 6) AS place,
+  round((sum(volume) OVER r60 / 60) / nullif(sum(volume) OVER r240 / 240, 0), 6) AS volume_acc, round(abs(ret_1) / nullif(volume, 0) * 1e9, 6) AS amihud
+FROM staged WINDOW {_SPANS}""",
 )
 
 _PAIRS = [("ret_5", "ret_5"), ("ret_5", "ret_15"), ("ret_5", "label_5"), ("ret_15", "ret_15"), ("ret_15", "label_5"), ("label_5", "label_5")]
@@ -229,12 +230,16 @@ _on_panel(
 )
 
 
-def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge weights of two returns for each session from the sessions before it."""
-    return round_all(evaluate.walk_forward(panel(spark, d), ["ret_5", "ret_15"], "label_5", "session_date", 1e-6, 100))
-
-
-QUERIES["walk_forward"] = walk_forward
+_on_panel(
+    "walk_forward",
+    lambda p: evaluate.walk_forward(p, ["ret_5", "ret_15"], "label_5", "session_date", 1e-3, 100),
+    ", full_ AS (SELECT session_date, ret_5 AS x, ret_15 AS z, label_5 AS y FROM panel WHERE ret_5 IS NOT NULL AND ret_15 IS NOT NULL AND label_5 IS NOT NULL), "
+    "sums AS (SELECT session_date, count(*) AS n, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy FROM full_ GROUP BY ALL), "
+    "past AS (SELECT session_date, sum(n) OVER w AS n, sum(xx) OVER w + sum(n) OVER w * 1e-3 AS a, sum(xz) OVER w AS b, sum(zz) OVER w + sum(n) OVER w * 1e-3 AS d, sum(xy) OVER w AS e, sum(zy) OVER w AS f "
+    "FROM sums WINDOW w AS (ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)) "
+    "SELECT session_date, 'ret_5' AS feature, round((e * d - b * f) / (a * d - b * b), 6) AS weight FROM past WHERE n >= 100 "
+    "UNION ALL SELECT session_date, 'ret_15', round((a * f - b * e) / (a * d - b * b), 6) FROM past WHERE n >= 100",
+)
 
 
 def bars_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -247,6 +252,6 @@ WITH {MINUTES},
 own AS (SELECT ticker, count(*) AS n_rows, count(*) FILTER (NOT ok) AS faulty, count(*) FILTER (volume = 0) AS no_volume,
   count(*) FILTER (ns % 60000000000 <> 0) AS off_minute, count(*) - count(DISTINCT ns) AS repeated FROM stamped GROUP BY ALL),
 inside AS (SELECT ticker, count(*) AS n FROM stamped JOIN sessions ON ns >= open_ns AND ns < close_ns GROUP BY ALL),
-gaps AS (SELECT ticker, count(*) FILTER (NOT observed) AS missing FROM grid GROUP BY ALL)
+gaps AS (SELECT ticker, count(*) FILTER (NOT observed) AS missing FROM bars_grid GROUP BY ALL)
 SELECT own.ticker, n_rows, n_rows - coalesce(inside.n, 0) AS outside, faulty, no_volume, off_minute, repeated, coalesce(missing, 0) AS missing
 FROM own LEFT JOIN inside USING (ticker) LEFT JOIN gaps USING (ticker)"""

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from tapeline.functions.stats import average_rank, correlation, pct_rank
+from tapeline.functions.stats import average_rank, correlation, pct_rank, zscore
 from tapeline.operators import evaluate
 from pyspark.sql import functions as F
 
@@ -19,11 +19,27 @@ def test_correlation_of_a_constant_is_null(spark):
     assert df.agg(correlation(F.col("x"), F.col("y")).alias("c")).collect()[0].c is None
 
 
+def test_correlation_of_tiny_numbers(spark):
+    df = spark.createDataFrame([(1e-7, 2e-7), (2e-7, 4.1e-7), (3e-7, 6e-7)], "x double, y double")
+    assert df.agg(correlation(F.col("x"), F.col("y")).alias("c")).collect()[0].c > 0.99
+
+
+def test_zscore_of_equal_values_is_zero(spark):
+    df = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", 1.0)], "k string, x double")
+    assert sorted((r.k, r.z) for r in df.select("k", zscore(F.col("x"), ["k"]).alias("z")).collect()) == [("a", 0.0), ("a", 0.0), ("b", None)]
+
+
+def test_rank_ic_wants_distinct_values(spark):
+    rows = [(t, float(i % (2 if t else 6)), float(i)) for t in range(2) for i in range(6)]
+    df = spark.createDataFrame(rows, "t int, x double, y double")
+    assert [r.t for r in evaluate.ic_by_time(df, "x", "y", ["t"], 3, 3).collect()] == [0]
+
+
 def test_walk_forward_uses_only_days_before(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"day": np.repeat(["a", "b", "c", "d"], 50), "x": rng.normal(size=200), "z": rng.normal(size=200)})
     pdf["y"] = 2 * pdf.x - pdf.z + rng.normal(size=200) * 0.1
-    run = lambda df: {(r.day, r.feature): r.weight for r in evaluate.walk_forward(spark.createDataFrame(df), ["x", "z"], "y", "day", 1e-3, 1).collect()}
+    run = lambda df, embargo=0: {(r.day, r.feature): r.weight for r in evaluate.walk_forward(spark.createDataFrame(df), ["x", "z"], "y", "day", 1e-3, 1, embargo).collect()}
     got = run(pdf)
     for day in "bcd":
         past = pdf[pdf.day < day]
@@ -31,6 +47,7 @@ def test_walk_forward_uses_only_days_before(spark):
         want = np.linalg.solve(x.T @ x + np.eye(2) * 1e-3 * len(past), x.T @ past.y.to_numpy())
         assert np.allclose([got[day, "x"], got[day, "z"]], want)
     assert ("a", "x") not in got
+    assert run(pdf, 1)["d", "x"] == got["c", "x"] and ("b", "x") not in run(pdf, 1)
     later = pdf.copy()
     later.loc[later.day == "d", ["x", "y"]] *= 100
     assert run(later)["d", "x"] == got["d", "x"]
