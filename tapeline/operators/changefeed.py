@@ -9,6 +9,7 @@ rest is zero stay as tombstones.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.functions.clean import plain_id
-from tapeline.session import buckets, fresh_path
+from tapeline.session import buckets, scratch, shared_dir
 
 #: Changes of a bucket. A bucket's table takes about 100 bytes a change.
 PER_BUCKET = 150_000
@@ -97,7 +98,7 @@ def upsert(changes: DataFrame, rows: int) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        with duckdb.connect(config={"threads": 1, "memory_limit": "400MB"}) as db:
+        with duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": scratch()}) as db:
             db.execute(_UPSERT)
             for got in batches:
                 batch = pa.Table.from_batches([got])
@@ -124,38 +125,54 @@ _ARROW = pa.schema(
 
 
 def publish(state: DataFrame, path: str) -> DataFrame:
-    """Writes ``state`` beside ``path`` and moves it there when it is whole, in one rename; returns what is published.
+    """Writes ``state`` as a new version below ``path`` and then names it the current one; returns that version.
 
-    Readers see all bucket results or none. An older state at ``path`` is replaced.
+    Runs the job. What makes a version current is one empty file with its number, created when all bucket results
+    are there: no rename, no overwriting, so readers see all of a version or none on any file system, and a job that dies before
+    leaves the current version as it was. The version before stays for those who still read it; older ones are dropped.
     """
     spark = state.sparkSession
-    staged = f"{path}.staged"
-    state.write.mode("overwrite").parquet(staged)
-    _swap(spark, staged, path)
-    return spark.read.parquet(path)
-
-
-def _swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Renames ``staged`` to ``path``; an older state is set aside first and dropped after."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    new, old, aside = (hadoop.Path(x) for x in (staged, path, f"{path}.replaced"))
-    files = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    had = files.exists(old)
-    if had:
-        files.delete(aside, True)
-        files.rename(old, aside)
-    if not files.rename(new, old):
-        if had:
-            files.rename(aside, old)
-        raise OSError(f"{staged} could not be published as {path}")
-    if had:
-        files.delete(aside, True)
-
-
-def live_orders(feed: DataFrame, rows: int) -> DataFrame:
-    """The orders live after the last change of each symbol and day, with the seqno of the change that touched them last."""
-    state = upsert(order_changes(feed), 2 * rows)
-    published = publish(state, fresh_path(feed.sparkSession, "order-state"))
-    return published.where(~F.col("deleted")).select("symbol", "trade_date", "sysid", "seqno")
+    files, jpath = _files(spark, path)
+    before = _versions(spark, path)
+    version = f"{int(before[-1].split('-')[0]) + 1 if before else 0:012d}-{uuid.uuid4().hex}"
+    state.write.parquet(f"{path}/{version}")
+    if not files.createNewFile(jpath(f"{path}/{_CURRENT}{version}")):
+        raise OSError(f"{version} could not be published in {path}")
+    for old in before[:-1]:
+        files.delete(jpath(f"{path}/{_CURRENT}{old}"), False)
+        files.delete(jpath(f"{path}/{old}"), True)
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of the state published at ``path``."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/{versions[-1]}")
+
+
+_CURRENT = "_current-"
+
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and what makes its paths."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    return jpath(path).getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The versions published at ``path``, the current one last."""
+    files, jpath = _files(spark, path)
+    found = files.globStatus(jpath(f"{path}/{_CURRENT}*")) or []
+    return sorted(f.getPath().getName()[len(_CURRENT) :] for f in found)
+
+
+def live_orders(feed: DataFrame, rows: int, name: str) -> DataFrame:
+    """The orders live after the last change of each symbol and day, with the seqno of the change that touched them last.
+
+    Runs the job: the state is published in the shared folder under ``name``, where :func:`published` finds it, and read from there.
+    """
+    state = upsert(order_changes(feed), 2 * rows)
+    out = publish(state, f"{shared_dir(feed.sparkSession).rstrip('/')}/{name}")
+    return out.where(~F.col("deleted")).select("symbol", "trade_date", "sysid", "seqno")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +32,12 @@ def _context_dir(spark: SparkSession) -> str | None:
     return option.get() if option.isDefined() else None
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that the loss of an executor costs nothing before it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def scratch() -> str:
+    """Inside a task: the folder that Spark gave this executor to spill to; empty where it named none."""
+    for name in ("LOCAL_DIRS", "SPARK_EXECUTOR_DIRS", "SPARK_LOCAL_DIRS"):
+        if os.environ.get(name):
+            return re.split("[,:]" if name == "SPARK_EXECUTOR_DIRS" else ",", os.environ[name])[0]
+    return ""
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

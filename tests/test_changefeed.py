@@ -1,4 +1,7 @@
 import random
+import threading
+
+import pytest
 
 from tapeline.operators import changefeed
 
@@ -45,7 +48,7 @@ def feed(n, seed):
 
 def run(spark, rows):
     df = spark.createDataFrame(rows, FEED)
-    return sorted(tuple(r) for r in changefeed.live_orders(df, len(rows)).collect())
+    return sorted(tuple(r) for r in changefeed.live_orders(df, len(rows), "test-state").collect())
 
 
 def test_against_a_replay(spark):
@@ -77,6 +80,34 @@ def test_copies_of_one_change_become_one_and_the_greatest_volume_counts(spark):
 
 def test_publish_replaces_whole_states(spark, tmp_path):
     path = str(tmp_path / "state")
-    for n in (3, 5):
-        assert changefeed.publish(spark.range(n), path).count() == n
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["state"]
+    for n in (3, 5, 7, 9):
+        assert changefeed.publish(spark.range(n), path).count() == n == changefeed.published(spark, path).count()
+    assert len([p for p in (tmp_path / "state").iterdir() if p.is_dir()]) == 2  # the current one and the one before
+
+
+def test_a_reader_never_finds_nothing_while_states_are_replaced(spark, tmp_path):
+    path, failed, seen, done = str(tmp_path / "state"), [], set(), threading.Event()
+    changefeed.publish(spark.range(1), path)
+
+    def read():
+        while not done.is_set():
+            try:
+                seen.add(changefeed.published(spark, path).count())
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in range(2, 8):
+        changefeed.publish(spark.range(n), path)
+    done.set()
+    reader.join()
+    assert not failed and seen <= set(range(1, 8))
+
+
+def test_a_job_that_dies_leaves_the_state_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "state")
+    changefeed.publish(spark.range(4), path)
+    with pytest.raises(Exception):
+        changefeed.publish(spark.range(2).selectExpr("assert_true(id > 5)"), path)
+    assert changefeed.published(spark, path).count() == 4
