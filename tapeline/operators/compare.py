@@ -38,32 +38,33 @@ class Field:
 def differences(a: DataFrame, b: DataFrame, key: list[str], fields: list[Field]) -> DataFrame:
     """``key`` and ``diff``: ``a_only``, ``b_only`` or the name of a field that differs, one row each.
 
-    Both sides have at most one row a key. Rows that are alike on either side after normalisation cancel out by
-    EXCEPT ALL in both directions; only the residues are joined in full, where values that merely fell into
-    neighbouring cells are compared exactly. Null keys equal each other; a null differs from a value.
+    Both sides have at most one row a key. EXCEPT ALL in both directions is one aggregation: each normalised row is
+    counted by side, and where the counts differ the side with more keeps it, with the values as they were. The two
+    residues, also of one row a key, are joined in full by grouping them by key; values that merely fell into
+    neighbouring cells are compared exactly there. Null keys equal each other; a null differs from a value.
     """
     names = [f.name for f in fields]
 
-    def normal(df: DataFrame) -> DataFrame:
-        return df.select(*key, *[f.normal().alias(f.name) for f in fields])
+    def side(df: DataFrame, is_a: bool) -> DataFrame:
+        return df.select(*key, *[f.normal().alias(f"_n_{f.name}") for f in fields], F.struct(*names).alias("_raw"), F.lit(is_a).alias("_a"))
 
-    na, nb = normal(a), normal(b)
-    left = na.exceptAll(nb).select(*key).withColumn("_in", F.lit(True))
-    right = nb.exceptAll(na).select(*key).withColumn("_in", F.lit(True))
-
-    def residue(df: DataFrame, keys: DataFrame, side: str) -> DataFrame:
-        d, k = df.alias("d"), keys.alias("k")
-        on = [F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key]
-        return d.join(k, on, "left_semi").select(*key, *names, F.lit(True).alias("_here")).alias(side)
-
-    ra, rb = residue(a, left, "a"), residue(b, right, "b")
-    both = ra.join(rb, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key], "full_outer")
+    raw = lambda a: F.max(F.when(F.col("_a") if a else ~F.col("_a"), F.col("_raw")))
+    counted = (
+        side(a, True)
+        .unionByName(side(b, False))
+        .groupBy(*key, *[f"_n_{n}" for n in names])
+        .agg(F.sum(F.when(F.col("_a"), 1).otherwise(-1)).alias("_more"), raw(True).alias("a"), raw(False).alias("b"))
+        .where("_more <> 0")
+    )
+    both = counted.groupBy(*key).agg(
+        F.max(F.when(F.col("_more") > 0, F.col("a"))).alias("a"), F.max(F.when(F.col("_more") < 0, F.col("b"))).alias("b")
+    )
     diffs = (
-        F.when(F.col("b._here").isNull(), F.array(F.lit("a_only")))
-        .when(F.col("a._here").isNull(), F.array(F.lit("b_only")))
+        F.when(F.col("b").isNull(), F.array(F.lit("a_only")))
+        .when(F.col("a").isNull(), F.array(F.lit("b_only")))
         .otherwise(F.array_compact(F.array(*[F.when(f.differs(), F.lit(f.name)) for f in fields])))
     )
-    return both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in key], F.explode(diffs).alias("diff"))
+    return both.select(*key, F.explode_outer(diffs).alias("diff")).where("diff IS NOT NULL")
 
 
 def first_rows(rows: DataFrame, key: list[str], order: str, keep: list[str]) -> DataFrame:

@@ -20,8 +20,6 @@ from tapeline.session import buckets
 
 TILE_DAYS = 256
 ENTITIES = 256
-#: Rows of a block over all its tiles.
-PER_BLOCK = 50_000
 
 
 def banded(days: int, halo: int, span: int) -> np.ndarray:
@@ -31,13 +29,14 @@ def banded(days: int, halo: int, span: int) -> np.ndarray:
     return ((row <= end) & (row > end - span)).astype("float64")
 
 
-def rolling(daily: DataFrame, entity: str, day: str, value: str, spans: tuple[int, ...], rows: int) -> DataFrame:
+def rolling(daily: DataFrame, entity: str, day: str, value: str, spans: tuple[int, ...], entities: int) -> DataFrame:
     """For each entity, each calendar day from its first to its last active one and each span: total, average, active days.
 
     ``daily`` has at most one row an entity and day, ``day`` as a date. A row with a null value is no activity; an
     entity without any has no rows. ``total`` is 0 and ``average`` 0 where the span has no active day; ``average`` divides
     by the span's calendar days, also those before the first active one. Columns: entity, ``asof``, ``span``, ``total``,
-    ``average``, ``active``. ``rows``, the size of the table behind, sizes the blocks.
+    ``average``, ``active``. ``entities``, how many there are about, sizes the blocks. Infinite values count as they do in a sum: a
+    span with one has that total, one with both signs has none (null).
     """
     halo = max(spans) - 1
     if halo >= TILE_DAYS:
@@ -68,7 +67,7 @@ def rolling(daily: DataFrame, entity: str, day: str, value: str, spans: tuple[in
         "_first",
         "_last",
     )
-    grouped = points.unionByName(spine).withColumn("_b", F.pmod(F.xxhash64(entity), F.lit(buckets(rows, PER_BLOCK, 4))).cast("int"))
+    grouped = points.unionByName(spine).withColumn("_b", F.pmod(F.xxhash64(entity), F.lit(buckets(entities, ENTITIES, 4))).cast("int"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         base = int(key[1]) * TILE_DAYS
@@ -83,7 +82,13 @@ def rolling(daily: DataFrame, entity: str, day: str, value: str, spans: tuple[in
             ours = place >= 0
             column = data["_d"].to_numpy("float64")[ours].astype("int64") - base + halo
             dense, active = np.zeros((len(names), halo + TILE_DAYS)), np.zeros((len(names), halo + TILE_DAYS))
-            dense[place[ours], column] = data["_v"].to_numpy("float64")[ours]
+            value = data["_v"].to_numpy("float64")[ours]
+            infinite = np.isinf(value)
+            dense[place[ours], column] = np.where(infinite, 0.0, value)
+            # zero times infinity is no number: infinities are counted by themselves
+            signs = [np.zeros_like(dense) for _ in range(2)] if infinite.any() else []
+            for sign, there in zip((1, -1), signs):
+                there[place[ours][infinite], column[infinite]] = np.sign(value[infinite]) == sign
             active[place[ours], column] = 1.0
             first = np.maximum(part["_first"].to_numpy("int64") - base, 0)
             last = np.minimum(part["_last"].to_numpy("int64") - base, TILE_DAYS - 1)
@@ -93,6 +98,9 @@ def rolling(daily: DataFrame, entity: str, day: str, value: str, spans: tuple[in
                 band = banded(TILE_DAYS, halo, span)
                 counts = (active @ band)[row, col]
                 total = np.where(counts > 0, (dense @ band)[row, col], 0.0)
+                if signs:
+                    up, down = ((there @ band)[row, col] > 0 for there in signs)
+                    total = np.select([up & down, up, down], [np.nan, np.inf, -np.inf], total)
                 out.append((lo + row, col + base, np.full(len(row), span), total, total / span, counts.astype("int64")))
         names = extents[entity].to_numpy(dtype=object)
         if not out:

@@ -123,7 +123,8 @@ def strategy_weekdays(spark: SparkSession, d: str) -> DataFrame:
 
 def held_position(spark: SparkSession, d: str) -> DataFrame:
     """A position that changes only when the net of the last 7 days leaves a band: +1 above, -1 below, else as it was."""
-    rolled = rolling.rolling(rolling.daily_net(table(spark, d, "daily_s1")), "strat", "day", "net", (7,), table(spark, d, "daily_s1").count())
+    daily = table(spark, d, "daily_s1")
+    rolled = rolling.rolling(rolling.daily_net(daily), "strat", "day", "net", (7,), daily.select("strat").distinct().count())
     want = F.when(F.col("total") > 1000, 1).when(F.col("total") < -1000, -1)
     w = Window.partitionBy("strat").orderBy("asof")
     held = rolled.select("strat", "asof", F.coalesce(F.last(want, ignorenulls=True).over(w), F.lit(0)).alias("position"))

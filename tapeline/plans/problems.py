@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The live orders, from the state that this publishes for the folder ``d`` (a job, run when called)."""
     feed = table(spark, d, "event_feed")
-    return changefeed.live_orders(feed, feed.count())
+    return changefeed.live_orders(feed, feed.count(), f"order-state-{hashlib.md5(d.encode()).hexdigest()[:12]}")
 
 
 def p3_state(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +47,7 @@ def p3_state(spark: SparkSession, d: str) -> DataFrame:
 
 def _strategies(spark: SparkSession, d: str) -> DataFrame:
     daily = table(spark, d, "daily_s1")
-    return rolling.rolling(rolling.daily_net(daily), "strat", "day", "net", (7, 30), daily.count())
+    return rolling.rolling(rolling.daily_net(daily), "strat", "day", "net", (7, 30), daily.select("strat").distinct().count())
 
 
 def p5_strategies(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +62,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_tickers(spark: SparkSession, d: str) -> DataFrame:
     """Totals and averages of each ticker's volume over 7 and 30 days."""
     bars = table(spark, d, "minute_bars")
-    return round_all(rolling.rolling(rolling.daily_volume(bars), "ticker", "day", "volume", (7, 30), bars.count() // 300), 4)
+    return round_all(rolling.rolling(rolling.daily_volume(bars), "ticker", "day", "volume", (7, 30), bars.select("ticker").distinct().count()), 4)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
