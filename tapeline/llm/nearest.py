@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.functions.clean import clock_ticks, plain_id, second_ticks, six_digits
-from tapeline.session import buckets
+from tapeline.session import buckets, scratch
 
 #: Ticks a second: the finest time of either table is a tenth of a millisecond. Whole ticks make equal distances equal.
 TICKS = 10_000
@@ -72,7 +72,7 @@ def nearest(wanted: DataFrame, candidates: DataFrame, tolerance: int, rows: int)
 
         if not wanted.num_rows or not candidates.num_rows:
             return _SCHEMA.empty_table()
-        with duckdb.connect(config={"threads": 1, "memory_limit": "400MB"}) as db:
+        with duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": scratch()}) as db:
             db.register("wanted", wanted)
             db.register("candidates", candidates)
             return db.sql(_MATCH.format(tolerance=tolerance)).to_arrow_table().cast(_SCHEMA)

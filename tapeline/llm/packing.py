@@ -157,3 +157,37 @@ def pack(documents: DataFrame, pack_specs: DataFrame, rows: int, folder: str = T
         return out[["spec_id", "container", "doc_id", "piece", "start_token", "n_tokens"]]
 
     return items.groupBy("spec_id", "shard").applyInPandas(run, PACKED)
+
+
+def totals(packed: DataFrame, documents: DataFrame, pack_specs: DataFrame) -> DataFrame:
+    """Accounts of a packing (of documents with an id each): spec_id, ``documents`` in it, and how many documents are ``missing`` or
+    ``broken`` (their pieces don't follow one another from the first token to the last), containers ``overfull``, documents ``split_though_fitting``.
+
+    One pass over pieces by document and one by container.
+    """
+    capacity = {r.spec_id: r.capacity for r in pack_specs.select("spec_id", "capacity").distinct().collect()}  # a fixed handful
+    most = F.create_map(*[F.lit(x) for pair in capacity.items() for x in pair])[F.col("spec_id")]
+    pieces = packed.groupBy("spec_id", "doc_id").agg(
+        F.count("*").alias("n"),
+        F.sum("n_tokens").alias("tokens"),
+        F.max(F.col("start_token") + F.col("n_tokens")).alias("end"),
+        F.min("start_token").alias("start"),
+        F.max("piece").alias("last"),
+    )
+    wanted = documents.select("doc_id").distinct().select("doc_id", F.explode(F.array(*[F.lit(s).cast("int") for s in capacity])).alias("spec_id"))
+    whole = (F.col("start") == 0) & (F.col("tokens") == F.col("end")) & (F.col("last") + 1 == F.col("n"))
+    by_document = (
+        wanted.join(pieces, ["spec_id", "doc_id"], "left")
+        .groupBy("spec_id")
+        .agg(
+            F.count("n").alias("documents"),
+            F.count_if(F.col("n").isNull()).alias("missing"),
+            F.count_if(~whole).alias("broken"),
+            F.count_if((F.col("n") > 1) & (F.col("tokens") <= most)).alias("split_though_fitting"),
+        )
+    )
+    held = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("held"))
+    by_container = held.groupBy("spec_id").agg(F.count_if(F.col("held") > most).alias("overfull"))
+    return by_document.join(by_container, "spec_id", "left").select(
+        "spec_id", "documents", "missing", "broken", F.coalesce("overfull", F.lit(0)).alias("overfull"), "split_though_fitting"
+    )

