@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.clean import MINUTE_NS, bar_ns, finite
 from tapeline.functions.stats import ratio
 from tapeline.operators.sessions import in_session
+from tapeline.operators.tape import AFTERNOON, DAY, ENDS, MORNING, TRADE, cents, slot
 
 SERIES = ["ticker", "session_date"]
 PRICES = ["open", "high", "low", "close"]
@@ -145,3 +146,32 @@ def quality(bars: DataFrame, sessions: DataFrame) -> DataFrame:
         "ticker", "n_rows", (F.col("n_rows") - F.coalesce("_in", F.lit(0))).alias("outside"), "faulty", "no_volume", "off_minute", "repeated",
         F.coalesce("missing", F.lit(0)).alias("missing"),
     )
+
+
+def trade_slots(tape: DataFrame, width: int) -> DataFrame:
+    """Trade bars of slots of ``width`` milliseconds, labelled by their end, in cents: DAY, slot, open, high, low, close, volume, amount, n."""
+    trades = tape.where(F.col("actiontype") == TRADE).withColumns({"slot": slot(F.col("ms"), width), "cents": cents(F.col("price"))}).where("slot IS NOT NULL")
+    return trades.groupBy(*DAY, "slot").agg(
+        F.min(F.struct("seqno", "cents"))["cents"].alias("open"),
+        F.max("cents").alias("high"),
+        F.min("cents").alias("low"),
+        F.max(F.struct("seqno", "cents"))["cents"].alias("close"),
+        F.sum("volume").alias("volume"),
+        F.sum(F.col("cents") * F.col("volume")).alias("amount"),
+        F.count("*").alias("n"),
+    )
+
+
+def every_slot(slots: DataFrame, width: int) -> DataFrame:
+    """All slots of a day, with or without trades: last price and the day's totals carried, ``flag`` 1 in the closing auction, else 2
+    where nothing was traded and 0 where something was. Each symbol and day spans its own grid."""
+    half = lambda lo, hi: F.sequence(*[F.lit(x).cast("long") for x in (lo + width, hi, width)])
+    grid = slots.select(*DAY).distinct().select(*DAY, F.explode(F.concat(half(MORNING[0], ENDS[0]), half(AFTERNOON[0], ENDS[1]))).alias("slot"))
+    w = Window.partitionBy(*DAY).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    joined = grid.join(slots, [*DAY, "slot"], "left")
+    flag = F.when((F.col("slot") > AFTERNOON[1]), 1).when(F.col("n").isNull(), 2).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    return joined.select(
+        *DAY, "slot", F.coalesce("n", F.lit(0)).alias("n"), F.last("close", ignorenulls=True).over(w).alias("last"),
+        F.max("high").over(w).alias("day_high"), F.min("low").over(w).alias("day_low"), total("volume").alias("day_volume"), total("amount").alias("day_amount"), flag.alias("flag"),
+    )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.clean import finite
 from tapeline.functions.stats import imbalance, ratio, sum_if
-from tapeline.operators.tape import CANCEL, DAY, MINUTE_MS, ORDER, TRADE, cents, first_orders
+from tapeline.operators.tape import CANCEL, DAY, MINUTE_MS, ORDER, TRADE, aggressor_side, cents, first_orders
 
 
 def depth_changes(tape: DataFrame) -> DataFrame:
@@ -79,23 +79,51 @@ def usable_book(lob: DataFrame) -> DataFrame:
     return lob.where(finite(F.col("price")) & (F.col("price") > 0) & (F.col("volume") > 0) & F.col("timeseconds").isNotNull())
 
 
-def crossing_class(lob: DataFrame) -> DataFrame:
-    """How aggressive each order is against the best levels before it: through, at, inside, joins, behind; by side, counted."""
-    buy = F.col("direction") == "B"
-    far, near = F.when(buy, F.col("akp1")).otherwise(F.col("bdp1")), F.when(buy, F.col("bdp1")).otherwise(F.col("akp1"))
+def aggressiveness() -> Column:
+    """An order against the best levels before it, 1 to 6: beyond the other side's best and taking all of it, at it and taking all,
+    at or beyond it with less, between both sides, at its own side's best, behind it; 0 where the levels that tell are missing."""
+    buy, volume = F.col("direction") == "B", F.col("volume")
     sign = F.when(buy, 1).otherwise(-1)
-    past_far, past_near = (cents(F.col("price")) - cents(far)) * sign, (cents(F.col("price")) - cents(near)) * sign
-    kind = (
-        F.when(past_far > 0, "through").when(past_far == 0, "at").when(past_near > 0, "inside").when(past_near == 0, "joins").otherwise("behind")
+    at = cents(F.col("price")) * sign
+    far, far_volume = F.when(buy, F.col("akp1")).otherwise(F.col("bdp1")), F.when(buy, F.col("akv1")).otherwise(F.col("bdv1"))
+    near = F.when(buy, F.col("bdp1")).otherwise(F.col("akp1"))
+    has_far, has_near = F.coalesce(finite(far) & (far > 0), F.lit(False)), F.coalesce(finite(near) & (near > 0), F.lit(False))
+    f, n, all_of_it = cents(F.when(has_far, far)) * sign, cents(F.when(has_near, near)) * sign, volume >= F.coalesce(far_volume, F.lit(0))
+    return (
+        F.when(has_far & (at > f) & all_of_it, 1)
+        .when(has_far & (at == f) & all_of_it, 2)
+        .when(has_far & (at >= f), 3)
+        .when(has_far & has_near & (at < f) & (at > n), 4)
+        .when(has_near & (at == n), 5)
+        .when(has_near & (at < n), 6)
+        .otherwise(0)
     )
+
+
+def crossing_class(lob: DataFrame) -> DataFrame:
+    """Orders by how aggressive they are, by day and side: counts and volume."""
     return (
         usable_book(lob)
         .where("ordertype = 'wt' AND direction IS NOT NULL")
-        .groupBy("trade_date", "direction", kind.alias("kind"))
+        .groupBy("trade_date", "direction", aggressiveness().alias("kind"))
         .agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
     )
 
 
+def life_times(tape: DataFrame) -> DataFrame:
+    """Milliseconds of each change since what came before it in its life: an order since the order before it (the first: 0), a cancel
+    since its own order, a trade since the resting side's order; the midday break left out, null where that order is unknown."""
+    w = Window.partitionBy(*DAY).orderBy("seqno")
+    orders = tape.where(F.col("actiontype") == ORDER).select(*DAY, "seqno", "actiontype", "ms", F.coalesce(F.lag("ms").over(w), F.col("ms")).alias("since"))
+    cancels = tape.where(F.col("actiontype") == CANCEL).select(*DAY, "seqno", "actiontype", "ms", "sysid")
+    trades = aggressor_side(tape).select(*DAY, "seqno", "actiontype", "ms", F.col("passive_id").alias("sysid"))
+    known = cancels.unionByName(trades).join(first_orders(tape).select(*DAY, "sysid", F.col("order_ms").alias("since")), [*DAY, "sysid"], "left")
+    every = orders.unionByName(known.drop("sysid"))
+    noon = 43_200_000
+    pause = F.when((F.col("since") < noon) & (F.col("ms") > noon), 5_400_000).otherwise(0)
+    return every.select(*DAY, "seqno", "actiontype", (F.col("ms") - F.col("since") - pause).alias("life_ms"))
+
+
 def flow_rollup(lob: DataFrame, slot_seconds: int = 300) -> DataFrame:
     """Counts, volume, amount, mean and last price per slot (labelled by its right edge), by type and side, by type, and in all."""
     slot = ((F.floor(F.col("timeseconds") / slot_seconds) + 1) * slot_seconds).cast("long").alias("slot")

@@ -42,6 +42,17 @@ def session(ms: Column) -> Column:
     return F.when(ms.between(MORNING[0], MORNING[1] - 1), 0).when(ms.between(AFTERNOON[0], AFTERNOON[1] - 1), 1)
 
 
+#: Where the trading day's halves end, the closing auction included; the second half of the day begins at AFTERNOON[0].
+ENDS = (41_400_000, 54_000_000)
+
+
+def slot(ms: Column, width: int) -> Column:
+    """The end of the slot of ``width`` milliseconds that holds ``ms``, of slots closed on the left; what comes after a half of the day
+    has ended belongs to that half's last slot. Null before the open."""
+    edge = ((F.floor(ms / width) + 1) * width).cast("long")
+    return F.when(ms.between(MORNING[0], AFTERNOON[0] - 1), F.least(edge, F.lit(ENDS[0]))).when(ms >= AFTERNOON[0], F.least(edge, F.lit(ENDS[1])))
+
+
 def in_sessions(df: DataFrame) -> DataFrame:
     """Rows of the continuous sessions, with ``sess`` and the minute ``bkt``."""
     return df.withColumns(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.clean import plain_id, six_digits
 from tapeline.functions.stats import ratio, round_all
-from tapeline.operators import book, rolling
+from tapeline.operators import bars, book, rolling
 from tapeline.operators import tape as tapes
 from tapeline.plans.flow import TAPE
 from tapeline.sources.tables import table
@@ -56,26 +56,44 @@ def second_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 def bars_3s(spark: SparkSession, d: str) -> DataFrame:
     """Three-second trade bars, left-closed and labelled by their right edge, with the day's running high, low and VWAP."""
-    trades = tapes.in_sessions(tapes.tape(table(spark, d, "event_feed")).where("actiontype = 2"))
-    slot = ((F.floor(F.col("ms") / 3000) + 1) * 3000).cast("long").alias("slot")
-    cents = tapes.cents(F.col("price"))
-    bars = trades.groupBy(*tapes.DAY, slot).agg(
-        F.min(F.struct("seqno", cents.alias("c")))["c"].alias("open"),
-        F.max(cents).alias("high"),
-        F.min(cents).alias("low"),
-        F.max(F.struct("seqno", cents.alias("c")))["c"].alias("close"),
-        F.sum("volume").alias("volume"),
-        F.sum(cents * F.col("volume")).alias("amount"),
-        F.count("*").alias("n"),
-    )
+    bars_ = bars.trade_slots(tapes.tape(table(spark, d, "event_feed")), 3000)
     w = Window.partitionBy(*tapes.DAY).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     return round_all(
-        bars.withColumns(
+        bars_.withColumns(
             {"day_high": F.max("high").over(w), "day_low": F.min("low").over(w), "day_vwap": ratio(F.sum("amount").over(w), F.sum("volume").over(w))}
         )
     )
 
 
+def minute_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Every minute of every symbol and day with trades, what stood before carried over minutes without any."""
+    return bars.every_slot(bars.trade_slots(tapes.tape(table(spark, d, "event_feed")), 60_000), 60_000)
+
+
+def life_times(spark: SparkSession, d: str) -> DataFrame:
+    return book.life_times(tapes.tape(table(spark, d, "event_feed")))
+
+
+def id_index(spark: SparkSession, d: str) -> DataFrame:
+    """What happened to each id: its first order, what was cancelled of it, its trades and how many others it traded with."""
+    t = tapes.tape(table(spark, d, "event_feed"))
+    cancels = t.where("actiontype = 1").groupBy(*tapes.DAY, "sysid").agg(F.sum("volume").alias("cancelled"))
+    sides = F.inline(F.array(F.struct(F.col("buyid").alias("sysid"), F.col("sellid").alias("other")), F.struct(F.col("sellid").alias("sysid"), F.col("buyid").alias("other"))))
+    trades = t.where("actiontype = 2").select(*tapes.DAY, "volume", sides).groupBy(*tapes.DAY, "sysid").agg(
+        F.count("*").alias("trades"), F.sum("volume").alias("traded"), F.count_distinct("other").alias("others")
+    )
+    key = [*tapes.DAY, "sysid"]
+    orders = tapes.first_orders(t).select(*key, "order_seq", "order_volume")
+    return orders.join(cancels, key, "full").join(trades, key, "full").na.fill(0, ["cancelled", "trades", "traded", "others"])
+
+
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of each half hour by symbol and day, a column an action."""
+    t = tapes.tape(table(spark, d, "event_feed"))
+    wide = t.groupBy(*tapes.DAY, F.floor(F.col("ms") / 1_800_000).cast("long").alias("half_hour")).pivot("actiontype", [0, 1, 2]).agg(F.count(F.lit(1)))
+    return wide.select(*tapes.DAY, "half_hour", *[F.coalesce(str(k), F.lit(0)).alias(n) for k, n in enumerate(("orders", "cancels", "trades"))])
+
+
 def feed_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Orders of the two builds by day and type: on both sides, on A's only, on B's only."""
     rows = table(spark, d, "order_rows").select(
@@ -166,7 +184,8 @@ def lot_schedule(spark: SparkSession, d: str, parts: int = 4) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        book_snapshots, auction_uncross, crossing_class, flow_rollup, book_features, after_state, ordered_gaps, second_histogram, bars_3s,
+        book_snapshots, auction_uncross, crossing_class, flow_rollup, book_features, after_state, ordered_gaps, second_histogram, bars_3s, minute_slots,
+        life_times, id_index, event_windows,
         feed_coverage, days_in_both, days_in_one, strategy_summary, strategy_weekdays, held_position, clean_specs, lot_schedule,
     )
 }
@@ -183,6 +202,11 @@ specs AS (
   SELECT DISTINCT dispid, CASE WHEN lower(trim(market)) IN ('101', 'sh') THEN 'sh' WHEN lower(trim(market)) IN ('102', 'sz') THEN 'sz' END AS market,
     {_SYM} AS symbol, trade_date, CASE WHEN lower(trim(side)) IN ('1', 'b', 'buy') THEN 'B' WHEN lower(trim(side)) IN ('2', 's', 'sell') THEN 'S' END AS side, qty
   FROM order_specs)"""
+_SLOTS = """
+b AS (
+  SELECT symbol, trade_date, CASE WHEN ms < 46800000 THEN least((ms // {0} + 1) * {0}, 41400000) ELSE least((ms // {0} + 1) * {0}, 54000000) END AS slot,
+    arg_min(cents, seqno) AS open, max(cents) AS high, min(cents) AS low, arg_max(cents, seqno) AS close, sum(volume)::BIGINT AS volume, sum(cents * volume)::BIGINT AS amount, count(*) AS n
+  FROM timed WHERE actiontype = 2 AND ms >= 34200000 GROUP BY ALL)"""
 
 SQL = {
     "book_snapshots": f"""
@@ -219,10 +243,10 @@ FROM curve WHERE least(demand, supply) > 0
 QUALIFY row_number() OVER (PARTITION BY symbol, trade_date, block ORDER BY least(demand, supply) DESC, abs(demand - supply), cents DESC) = 1""",
     "crossing_class": f"""
 WITH o AS (
-  SELECT *, CASE direction WHEN 'B' THEN 1 ELSE -1 END AS sign, CASE direction WHEN 'B' THEN akp1 ELSE bdp1 END AS far, CASE direction WHEN 'B' THEN bdp1 ELSE akp1 END AS near
-  FROM lob_records WHERE {_GOOD} AND ordertype = 'wt' AND direction IS NOT NULL),
-k AS (SELECT *, ({_CENTS.format('price')} - {_CENTS.format('far')}) * sign AS pf, ({_CENTS.format('price')} - {_CENTS.format('near')}) * sign AS pn FROM o)
-SELECT trade_date, direction, CASE WHEN pf > 0 THEN 'through' WHEN pf = 0 THEN 'at' WHEN pn > 0 THEN 'inside' WHEN pn = 0 THEN 'joins' ELSE 'behind' END AS kind,
+  SELECT *, CASE direction WHEN 'B' THEN 1 ELSE -1 END AS sign, CASE direction WHEN 'B' THEN akp1 ELSE bdp1 END AS far, CASE direction WHEN 'B' THEN bdp1 ELSE akp1 END AS near,
+    CASE direction WHEN 'B' THEN akv1 ELSE bdv1 END AS fv FROM lob_records WHERE {_GOOD} AND ordertype = 'wt' AND direction IS NOT NULL),
+k AS (SELECT *, {_CENTS.format('price')} * sign AS p, CASE WHEN isfinite(far) AND far > 0 THEN {_CENTS.format('far')} * sign END AS f, CASE WHEN isfinite(near) AND near > 0 THEN {_CENTS.format('near')} * sign END AS n FROM o)
+SELECT trade_date, direction, CASE WHEN p > f AND volume >= coalesce(fv, 0) THEN 1 WHEN p = f AND volume >= coalesce(fv, 0) THEN 2 WHEN p >= f THEN 3 WHEN p < f AND p > n THEN 4 WHEN p = n THEN 5 WHEN p < n THEN 6 ELSE 0 END AS kind,
   count(*) AS n, sum(volume)::BIGINT AS volume FROM k GROUP BY ALL""",
     "flow_rollup": f"""
 WITH r AS (SELECT symbol, trade_date, CAST((floor(timeseconds / 300) + 1) * 300 AS BIGINT) AS slot, ordertype, direction, price, volume, seqno, rec_id FROM lob_records WHERE {_GOOD})
@@ -251,12 +275,29 @@ g AS (SELECT symbol, trade_date, ms - before - CASE WHEN before < 41400000 AND m
 SELECT symbol, trade_date, count(*) AS n, sum(gap)::BIGINT AS gap_sum, median(gap)::DOUBLE AS gap_median, max(gap) AS gap_max FROM g GROUP BY ALL""",
     "second_histogram": f"WITH {TAPE} SELECT ms // 1000 % 60 AS second, actiontype, count(*) AS n FROM tape GROUP BY ALL",
     "bars_3s": f"""
-WITH {TAPE}, b AS (
-  SELECT symbol, trade_date, (ms // 3000 + 1) * 3000 AS slot, arg_min(cents, seqno) AS open, max(cents) AS high, min(cents) AS low, arg_max(cents, seqno) AS close,
-    sum(volume)::BIGINT AS volume, sum(cents * volume)::BIGINT AS amount, count(*) AS n
-  FROM sessed WHERE actiontype = 2 GROUP BY ALL)
+WITH {TAPE}, {_SLOTS.format(3000)}
 SELECT *, max(high) OVER w AS day_high, min(low) OVER w AS day_low, round(sum(amount) OVER w / sum(volume) OVER w, 6) AS day_vwap
 FROM b WINDOW w AS (PARTITION BY symbol, trade_date ORDER BY slot ROWS UNBOUNDED PRECEDING)""",
+    "minute_slots": f"""
+WITH {TAPE}, {_SLOTS.format(60000)},
+grid AS (SELECT symbol, trade_date, unnest(generate_series(34260000, 41400000, 60000) || generate_series(46860000, 54000000, 60000)) AS slot FROM (SELECT DISTINCT symbol, trade_date FROM b))
+SELECT symbol, trade_date, slot, coalesce(n, 0) AS n, last_value(close IGNORE NULLS) OVER w AS last, max(high) OVER w AS day_high, min(low) OVER w AS day_low,
+  coalesce(sum(volume) OVER w, 0)::BIGINT AS day_volume, coalesce(sum(amount) OVER w, 0)::BIGINT AS day_amount, CASE WHEN slot > 53820000 THEN 1 WHEN n IS NULL THEN 2 ELSE 0 END AS flag
+FROM grid LEFT JOIN b USING (symbol, trade_date, slot) WINDOW w AS (PARTITION BY symbol, trade_date ORDER BY slot ROWS UNBOUNDED PRECEDING)""",
+    "life_times": f"""
+WITH {TAPE}, e AS (
+  SELECT symbol, trade_date, seqno, actiontype, ms, coalesce(lag(ms) OVER (PARTITION BY symbol, trade_date ORDER BY seqno), ms) AS since FROM tape WHERE actiontype = 0
+  UNION ALL SELECT t.symbol, t.trade_date, t.seqno, t.actiontype, t.ms, o.order_ms FROM tape t LEFT JOIN orders_first o USING (symbol, trade_date, sysid) WHERE t.actiontype = 1
+  UNION ALL SELECT t.symbol, t.trade_date, t.seqno, t.actiontype, t.ms, o.order_ms FROM sided t LEFT JOIN orders_first o ON o.symbol = t.symbol AND o.trade_date = t.trade_date AND o.sysid = t.passive_id)
+SELECT symbol, trade_date, seqno, actiontype, ms - since - CASE WHEN since < 43200000 AND ms > 43200000 THEN 5400000 ELSE 0 END AS life_ms FROM e""",
+    "id_index": f"""
+WITH {TAPE},
+c AS (SELECT symbol, trade_date, sysid, sum(volume) AS cancelled FROM tape WHERE actiontype = 1 GROUP BY ALL),
+s AS (SELECT symbol, trade_date, buyid AS sysid, sellid AS other, volume FROM tape WHERE actiontype = 2 UNION ALL SELECT symbol, trade_date, sellid, buyid, volume FROM tape WHERE actiontype = 2),
+t AS (SELECT symbol, trade_date, sysid, count(*) AS trades, sum(volume) AS traded, count(DISTINCT other) AS others FROM s GROUP BY ALL)
+SELECT symbol, trade_date, sysid, order_seq, order_volume, coalesce(cancelled, 0)::BIGINT AS cancelled, coalesce(trades, 0) AS trades, coalesce(traded, 0)::BIGINT AS traded, coalesce(others, 0) AS others
+FROM orders_first FULL JOIN c USING (symbol, trade_date, sysid) FULL JOIN t USING (symbol, trade_date, sysid)""",
+    "event_windows": f"WITH {TAPE} SELECT symbol, trade_date, ms // 1800000 AS half_hour, count(*) FILTER (actiontype = 0) AS orders, count(*) FILTER (actiontype = 1) AS cancels, count(*) FILTER (actiontype = 2) AS trades FROM tape GROUP BY ALL",
     "feed_coverage": f"""
 WITH k AS (SELECT {_SYM} AS symbol, trade_date, {_PLAIN} AS sysid, ordertype, max((feed = 'A')::INT) AS a, max((feed = 'B')::INT) AS b FROM order_rows GROUP BY ALL)
 SELECT trade_date, ordertype, count(*) FILTER (a = 1 AND b = 1) AS both_sides, count(*) FILTER (a = 1 AND b = 0) AS a_only, count(*) FILTER (a = 0 AND b = 1) AS b_only FROM k GROUP BY ALL""",

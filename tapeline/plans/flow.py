@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions.stats import round_all
@@ -238,18 +238,21 @@ FROM lasts""",
 
 
 def tape_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Per day: rows delivered again, rows late behind a later change, missing clock fields, cancels and trades of unknown orders."""
+    """Per day: rows, those delivered behind a later change of their symbol, missing clock fields, changes, cancels and trades of unknown orders."""
     feed = table(spark, d, "event_feed")
     clean = tapes.tape(feed)
     raw = feed.groupBy("trade_date").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("hms").isNull()).alias("no_hms"), F.count_if(F.col("timeseconds").isNull()).alias("no_seconds")
     )
+    before = F.max("seqno").over(Window.partitionBy(*tapes.DAY).orderBy("feed_id").rowsBetween(Window.unboundedPreceding, -1))
+    late = feed.select(*tapes.DAY, "seqno", (F.col("seqno") < before).alias("_late")).groupBy("trade_date").agg(F.count_if("_late").alias("late"))
     known = clean.where("actiontype = 0").select(*tapes.DAY, "sysid").distinct()
     cancels = clean.where("actiontype = 1").select(*tapes.DAY, "sysid")
     sides = clean.where("actiontype = 2").select(*tapes.DAY, F.explode(F.array("buyid", "sellid")).alias("sysid"))
     lost = lambda df, name: df.join(known, [*tapes.DAY, "sysid"], "left_anti").groupBy("trade_date").agg(F.count("*").alias(name))
     return (
         raw.join(clean.groupBy("trade_date").agg(F.count("*").alias("changes")), "trade_date", "left")
+        .join(late, "trade_date", "left")
         .join(lost(cancels, "orphan_cancels"), "trade_date", "left")
         .join(lost(sides, "orphan_sides"), "trade_date", "left")
         .na.fill(0, ["orphan_cancels", "orphan_sides"])
@@ -262,8 +265,10 @@ WITH {TAPE},
 known AS (SELECT DISTINCT symbol, trade_date, sysid FROM tape WHERE actiontype = 0),
 raw AS (SELECT trade_date, count(*) AS n_rows, count(*) FILTER (hms IS NULL) AS no_hms, count(*) FILTER (timeseconds IS NULL) AS no_seconds FROM event_feed GROUP BY ALL),
 ch AS (SELECT trade_date, count(*) AS changes FROM tape GROUP BY ALL),
+behind AS (SELECT trade_date, seqno < max(seqno) OVER (PARTITION BY symbol, trade_date ORDER BY feed_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM event_feed),
+lt AS (SELECT trade_date, count(*) FILTER (late) AS late FROM behind GROUP BY ALL),
 oc AS (SELECT trade_date, count(*) AS n FROM tape t ANTI JOIN known k USING (symbol, trade_date, sysid) WHERE actiontype = 1 GROUP BY ALL),
 ids AS (SELECT symbol, trade_date, unnest([buyid, sellid]) AS sysid FROM tape WHERE actiontype = 2),
 os AS (SELECT trade_date, count(*) AS n FROM ids ANTI JOIN known USING (symbol, trade_date, sysid) GROUP BY ALL)
-SELECT raw.trade_date, n_rows, no_hms, no_seconds, changes, coalesce(oc.n, 0) AS orphan_cancels, coalesce(os.n, 0) AS orphan_sides
-FROM raw LEFT JOIN ch USING (trade_date) LEFT JOIN oc USING (trade_date) LEFT JOIN os USING (trade_date)"""
+SELECT raw.trade_date, n_rows, no_hms, no_seconds, changes, late, coalesce(oc.n, 0) AS orphan_cancels, coalesce(os.n, 0) AS orphan_sides
+FROM raw LEFT JOIN ch USING (trade_date) LEFT JOIN lt USING (trade_date) LEFT JOIN oc USING (trade_date) LEFT JOIN os USING (trade_date)"""

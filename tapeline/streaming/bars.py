@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,39 +20,47 @@ def event_times(feed: DataFrame) -> DataFrame:
 
 
 def minute_bars(feed: DataFrame, delay: str) -> DataFrame:
-    """Trades a symbol and minute, each change once; state older than ``delay`` behind the latest event is dropped.
+    """Trades a symbol and minute, each change once, of a stream or a table.
 
-    Works on a stream and on a table alike; on a stream the delay must cover how late rows come.
+    On a stream state older than ``delay`` behind the latest event is dropped, and so are rows that come later than that;
+    :func:`run_to_end` counts them. A table has no late rows.
     """
-    once = (
-        event_times(feed)
-        .where("actiontype = 2")
-        .withWatermark("at", delay)
-        .dropDuplicatesWithinWatermark(["symbol", "trade_date", "seqno"])
-    )
+    key, trades = ["symbol", "trade_date", "seqno"], event_times(feed).where("actiontype = 2")
+    once = trades.withWatermark("at", delay).dropDuplicatesWithinWatermark(key) if feed.isStreaming else trades.dropDuplicates(key)
     window = F.window("at", "1 minute")
     return once.groupBy("symbol", window).agg(F.count("*").alias("n"), F.sum("volume").alias("volume")).select(
         "symbol", F.col("window.start").alias("minute"), "n", "volume"
     )
 
 
-def run_to_end(spark: SparkSession, path: str, schema: StructType, delay: str, files: int = 8) -> DataFrame:
-    """The stream of the files at ``path`` run until all are read, ``files`` a batch; its bars, written and committed file by file.
+def run_to_end(spark: SparkSession, path: str, schema: StructType, delay: str, files: int = 8) -> tuple[DataFrame, int]:
+    """The stream of the files at ``path`` run until all are read, ``files`` a batch: its bars, written and committed file by file,
+    and how many rows came too late to count.
 
     Output and progress go to the shared folder, so a restart goes on where the last batch was committed.
     """
     at = fresh_path(spark, "minute-bars")
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    query = (
-        minute_bars(feed, delay)
-        .writeStream.format("parquet")
-        .option("path", f"{at}/data")
-        .option("checkpointLocation", f"{at}/progress")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    kept = spark.conf.get(_KEPT)
+    spark.conf.set(_KEPT, "1000000")  # a line of progress for each batch, which hold the counts
+    try:
+        query = (
+            minute_bars(feed, delay)
+            .writeStream.format("parquet")
+            .option("path", f"{at}/data")
+            .option("checkpointLocation", f"{at}/progress")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_KEPT, kept)
     if query.exception():
         raise query.exception()
-    return spark.read.schema("symbol string, minute timestamp, n long, volume long").parquet(f"{at}/data")
+    # rows dropped by the deduplication, the first to see them
+    late = sum(max((op.get("numRowsDroppedByWatermark", 0) for op in json.loads(p.json)["stateOperators"]), default=0) for p in query.recentProgress)
+    return spark.read.schema("symbol string, minute timestamp, n long, volume long").parquet(f"{at}/data"), late
+
+
+_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
