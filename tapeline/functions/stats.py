@@ -71,6 +71,27 @@ def rank_ic(df: DataFrame, x: str, y: str, within: list[str], least: int, distin
     )
 
 
+def quantile_edges(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Quantiles of ``value`` by group, interpolated between its neighbours: ``by`` and ``_e1``, ``_e2`` and so on, one for each of ``shares``.
+
+    Exact for groups of any size: equal values are counted before the shuffle, the counts run up in order of value by a sort that
+    spills, and the values at the places wanted are picked, so no group's values are ever held together. Nulls are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by)
+    run = counts.withColumns({"_below": F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    picks = {}
+    for k, share in enumerate(shares, 1):
+        place = F.lit(share) * (F.col("_all") - 1)
+        for name, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picks[f"_{name}{k}"] = F.min(F.when(F.col("_below") > at, F.col("_v")))
+    picked = run.groupBy(*by).agg(F.max("_all").alias("_all"), *[c.alias(n) for n, c in picks.items()])
+    part = lambda share: F.lit(share) * (F.col("_all") - 1) - F.floor(F.lit(share) * (F.col("_all") - 1))
+    return picked.select(
+        *by, *[(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * part(share)).alias(f"_e{k}") for k, share in enumerate(shares, 1)]
+    )
+
+
 def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that results of differently ordered sums are equal."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.stats import average_rank, correlation, pct_rank, rank_ic, ratio
+from tapeline.functions.stats import average_rank, correlation, pct_rank, quantile_edges, rank_ic, ratio
 
 
 def summary(values: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -73,9 +73,7 @@ def tails(panel: DataFrame, feature: str, label: str, time: list[str], groups: i
 def quantile_groups(panel: DataFrame, feature: str, label: str, by: list[str], groups: int) -> DataFrame:
     """Mean label of groups cut at interpolated quantiles of the feature; groups between equal edges are empty and don't come out."""
     full = panel.where(F.col(feature).isNotNull() & F.col(label).isNotNull())
-    edges = full.groupBy(*by).agg(
-        *[F.percentile(feature, F.lit(k / groups)).alias(f"_e{k}") for k in range(1, groups)]
-    )
+    edges = quantile_edges(full, by, feature, [k / groups for k in range(1, groups)])
     group = F.lit(1)
     for k in range(1, groups):
         group = group + (F.col(feature) > F.col(f"_e{k}")).cast("int")

@@ -7,7 +7,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.stats import correlation, pct_rank, ratio
+from tapeline.functions.stats import correlation, pct_rank, quantile_edges, ratio
 from tapeline.operators.flow import BUCKET, eaten_age, minute_flow
 from tapeline.operators.tape import DAY, TRADE, in_sessions
 
@@ -73,7 +73,7 @@ def monotonicity(panel: DataFrame, feature: str, label: str, by: list[str], mome
     and mean, the last group's mean less the first's, each also for the label less its mean at the moment."""
     full = panel.where(F.col(feature).isNotNull() & F.col(label).isNotNull())
     full = full.withColumn("_rest", F.col(label) - F.avg(label).over(Window.partitionBy(*moment)))
-    edges = full.groupBy(*by).agg(*[F.percentile(feature, F.lit(k / n)).alias(f"_e{k}") for k in range(1, n)])
+    edges = quantile_edges(full, by, feature, [k / n for k in range(1, n)])
     group = F.lit(0)
     for k in range(1, n):
         group = group + (F.col(feature) > F.col(f"_e{k}")).cast("int")

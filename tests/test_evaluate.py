@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from tapeline.functions.stats import average_rank, correlation, pct_rank, zscore
+from tapeline.functions.stats import average_rank, correlation, pct_rank, quantile_edges, zscore
 from tapeline.operators import evaluate
 from pyspark.sql import functions as F
 
@@ -35,6 +35,16 @@ def test_rank_ic_wants_distinct_values(spark):
     assert [r.t for r in evaluate.ic_by_time(df, "x", "y", ["t"], 3, 3).collect()] == [0]
 
 
+def test_quantiles_of_groups_with_ties_nulls_and_single_rows(spark):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.integers(0, 9, 101).astype(float), "b": rng.normal(size=50), "c": np.array([3.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("d", None)]
+    got = {r.k: r for r in quantile_edges(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", [0.1, 0.5, 0.9, 1.0]).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert np.allclose([got[k][f"_e{i}"] for i in range(1, 5)], np.quantile(x, [0.1, 0.5, 0.9, 1.0]))
+
+
 def test_walk_forward_uses_only_days_before(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"day": np.repeat(["a", "b", "c", "d"], 50), "x": rng.normal(size=200), "z": rng.normal(size=200)})
