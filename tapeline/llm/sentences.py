@@ -242,18 +242,36 @@ def _marked(documents: DataFrame) -> DataFrame:
     )
 
 
-def _places(each, kind: str) -> Column:
-    """``each(start, part)`` of every part but the last, in order, as an array of ``kind``."""
+#: Parts whose places are added up together: an array grown by one is copied, so a long text's parts are taken in stretches.
+STRETCH = 512
+
+
+def _running(items: Column, start: Column, size, add, kind: str) -> Column:
+    """``add(at, item)`` of every item as an array of ``kind``, where ``at`` is ``start`` and the sizes of the items before."""
     return F.aggregate(
-        F.slice("_parts", F.lit(1), F.size("_parts") - 1),
-        F.struct(F.col("_offset").cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
-        lambda acc, part: F.when(part == "", acc).otherwise(
-            F.struct((acc["at"] + F.length(part)).alias("at"), F.array_append(acc["out"], each(acc["at"], part)).alias("out"))
-        ),
+        items,
+        F.struct(start.cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+        lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.array_append(acc["out"], add(acc["at"], x)).alias("out")),
         lambda acc: acc["out"],
     )
 
 
+def _places(each, kind: str) -> Column:
+    """``each(start, part)`` of every part but the last that is not empty, in order, as an array of ``kind``."""
+    many = F.size("_parts") - 1
+    stretch = lambda first: F.slice("_parts", first + 1, F.least(F.lit(STRETCH), many - first))
+    starts = _running(
+        F.sequence(F.lit(0), many - 1, F.lit(STRETCH)),
+        F.col("_offset"),
+        lambda first: F.aggregate(stretch(first), F.lit(0).cast("long"), lambda n, part: n + F.length(part)),
+        lambda at, first: F.struct(first.alias("first"), at.alias("at")),
+        "struct<first:int,at:bigint>",
+    )
+    some = lambda at, part: F.when(part != "", each(at, part))
+    places = F.flatten(F.transform(starts, lambda s: _running(stretch(s["first"]), s["at"], F.length, some, kind)))
+    return F.when(many > 0, F.array_compact(places)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def sentence_ends(documents: DataFrame) -> DataFrame:
     """One row a document with its id and ``ends``: the places of the sentences' last characters, 0-based in code points.
 

@@ -71,6 +71,12 @@ def test_null_empty_blank_cut_and_odd_texts(spark):
     assert ends(spark, []) == {}
 
 
+def test_a_text_of_very_many_sentences(spark):
+    text = "A bc. D.\n\n" * 20_000
+    want = [10 * k + e for k in range(20_000) for e in (4, 7)]
+    assert ends(spark, [text])[0] == want
+
+
 def test_sentences_are_the_text_between(spark):
     text = "\\section{T}\nOne.  Two $x$.\n"
     rows = sentences.sentences(spark.createDataFrame([(5, text, 1)], "doc_id long, text string, number int")).orderBy("number").collect()
