@@ -63,17 +63,17 @@ def symbol_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols in groups of like profiles, by k-means over their standardised logs."""
+    """Symbols in two groups of like profiles, by k-means over their standardised logs."""
     profile = panel.profiles(panel.flow_panel(_tape(spark, d)), "symbol", "trade_date").where("activity > 0 AND size > 0")
     logs = profile.select("symbol", F.log10("activity").alias("activity"), "informed", F.log10("size").alias("size"), "cancels")
-    return panel.groups(logs, ["activity", "informed", "size", "cancels"])
+    return panel.groups(logs, ["activity", "informed", "size", "cancels"], 2)
 
 
 def group_ic(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation of the eaten orders' age with the skipped return, within each group of symbols."""
     full = panel.with_labels(panel.flow_panel(_tape(spark, d)))
     grouped = full.join(symbol_groups(spark, d).select("symbol", "grp"), "symbol")
-    ics = rank_ic(grouped, "age_imb", "ret_skip", [*panel.MOMENT, "grp"], LEAST)
+    ics = rank_ic(grouped, "age_imb", "ret_skip", [*panel.MOMENT, "grp"], 3)
     return round_all(evaluate.summary(ics.groupBy("trade_date", "grp").agg(F.avg("ic").alias("ic")), ["grp"], "ic"))
 
 

@@ -39,4 +39,5 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_gives_rows(spark, name):
-    assert registry.QUERIES[name](spark, SF).limit(1).count() == 1
+    where = SF.replace("sf0.001", "sf0.01") if name == "group_ic" else SF  # the smallest tables have too few symbols for a correlation in a group
+    assert registry.QUERIES[name](spark, where).limit(1).count() == 1
