@@ -11,7 +11,7 @@ from tapeline.operators.tape import CANCEL, DAY, MINUTE_MS, ORDER, TRADE, aggres
 
 
 def depth_changes(tape: DataFrame) -> DataFrame:
-    """Every change of resting volume with the price and side of its order: DAY, seqno, ms, side, cents, delta.
+    """Every change of resting volume with the price and side of its order: DAY, seqno, ms, side, cents, delta, and the same of the number of orders, ``dn``.
 
     An order adds its volume; cancels and trades take from it, never more than is left, in order of the tape. Changes of
     unknown orders change nothing.
@@ -24,31 +24,59 @@ def depth_changes(tape: DataFrame) -> DataFrame:
     taken = known.withColumn("_sum", F.sum("volume").over(w))
     left_before = F.greatest(F.col("order_volume") - (F.col("_sum") - F.col("volume")), F.lit(0))
     cuts = taken.select(
-        *DAY, "seqno", "ms", F.col("order_side").alias("side"), F.col("order_cents").alias("cents"), (-F.least("volume", left_before)).alias("delta")
+        *DAY, "seqno", "ms", F.col("order_side").alias("side"), F.col("order_cents").alias("cents"), (-F.least("volume", left_before)).alias("delta"),
+        F.when((left_before > 0) & (F.col("volume") >= left_before), -1).otherwise(0).alias("dn"),
     )
     adds = orders.select(
         *DAY, F.col("order_seq").alias("seqno"), F.col("order_ms").alias("ms"), F.col("order_side").alias("side"),
-        F.col("order_cents").alias("cents"), F.col("order_volume").alias("delta"),
+        F.col("order_cents").alias("cents"), F.col("order_volume").alias("delta"), F.when(F.col("order_volume") > 0, 1).otherwise(0).alias("dn"),
     )
     return adds.unionByName(cuts).where("side IS NOT NULL")
 
 
-def snapshots(tape: DataFrame, levels: int = 5, every_ms: int = 15 * MINUTE_MS) -> DataFrame:
-    """The best levels of each side at the end of each period: per symbol, day, period and level price and volume.
+def snapshots(tape: DataFrame, levels: int = 10, every_ms: int = 15 * MINUTE_MS) -> DataFrame:
+    """The best levels of each side at the end of each period: per symbol, day, period and level price, volume and number of orders.
 
     Changes are summed per period and price first, so the running sums go over periods, not over events.
     """
     period = F.floor(F.col("ms") / every_ms).cast("long")
-    summed = depth_changes(tape).groupBy(*DAY, "side", "cents", period.alias("period")).agg(F.sum("delta").alias("delta"))
-    ends = summed.groupBy(*DAY).agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
+    summed = depth_changes(tape).groupBy(*DAY, "side", "cents", period.alias("period")).agg(F.sum("delta").alias("delta"), F.sum("dn").alias("dn"))
+    ends = summed.groupBy(*DAY).agg(F.max("period").alias("_hi"))
     price = Window.partitionBy(*DAY, "side", "cents").orderBy("period")
-    standing = summed.withColumns({"volume": F.sum("delta").over(price), "_next": F.lead("period").over(price)}).where("volume > 0")
-    every = standing.join(ends.select(*DAY, "_hi"), DAY).select(
-        *DAY, "side", "cents", "volume", F.explode(F.sequence("period", F.coalesce(F.col("_next") - 1, F.col("_hi")))).alias("period")
+    standing = summed.withColumns({"volume": F.sum("delta").over(price), "orders": F.sum("dn").over(price), "_next": F.lead("period").over(price)}).where("volume > 0")
+    every = standing.join(ends, DAY).select(
+        *DAY, "side", "cents", "volume", "orders", F.explode(F.sequence("period", F.coalesce(F.col("_next") - 1, F.col("_hi")))).alias("period")
     )
     best = F.when(F.col("side") == "B", -F.col("cents")).otherwise(F.col("cents"))
     rank = F.row_number().over(Window.partitionBy(*DAY, "period", "side").orderBy(best))
-    return every.withColumn("level", rank).where(F.col("level") <= levels).select(*DAY, "period", "side", "level", "cents", "volume")
+    return every.withColumn("level", rank).where(F.col("level") <= levels).select(*DAY, "period", "side", "level", "cents", "volume", "orders")
+
+
+def depth_features(levels: DataFrame, few: int = 5, bins: tuple[int, ...] = (5, 20)) -> DataFrame:
+    """What book levels (DAY, period, side, level, cents, volume) say of the depth: volume of the first ``few`` and of all levels by side and
+    their imbalance, price of level ``few``, and volume within so many cents of the side's best, all in one aggregation."""
+    rows = levels.withColumn("_away", F.abs(F.col("cents") - F.first("cents").over(Window.partitionBy(*DAY, "period", "side").orderBy("level"))))
+    volume = F.col("volume")
+    columns = {}
+    for name, side in (("bid", F.col("side") == "B"), ("ask", F.col("side") == "S")):
+        columns[f"{name}_few"] = sum_if(side & (F.col("level") <= few), volume)
+        columns[f"{name}_all"] = sum_if(side, volume)
+        columns[f"{name}_price_{few}"] = F.max(F.when(side & (F.col("level") == few), F.col("cents")))
+        columns |= {f"{name}_within_{n}": sum_if(side & (F.col("_away") <= n), volume) for n in bins}
+    out = rows.groupBy(*DAY, "period").agg(*[c.alias(n) for n, c in columns.items()])
+    return out.withColumns({f"imbalance_{k}": imbalance(F.col(f"bid_{k}"), F.col(f"ask_{k}")) for k in ("few", "all")})
+
+
+def repaired_prices(lob: DataFrame) -> DataFrame:
+    """Rows whose price can't be true with the one that stands for it: a cancel's is its order's, others' the other side's best; null if
+    that is missing too. Columns: rec_id, ordertype, price."""
+    good = lambda c: finite(c) & (c > 0)
+    key = [*DAY, "sysid"]
+    own = lob.where((F.col("ordertype") == "wt") & good(F.col("price"))).groupBy(*key).agg(F.min(F.struct("seqno", "rec_id", "price"))["price"].alias("_own"))
+    bad = lob.where(~F.coalesce(good(F.col("price")), F.lit(False))).join(own, key, "left")
+    other = F.when(F.col("direction") == "B", F.col("akp1")).when(F.col("direction") == "S", F.col("bdp1"))
+    price = F.when(F.col("ordertype") == "cl", F.coalesce(F.col("_own"), F.when(good(other), other))).otherwise(F.when(good(other), other))
+    return bad.select("rec_id", "ordertype", price.alias("price"))
 
 
 def uncross(orders: DataFrame, keys: list[str]) -> DataFrame:

@@ -119,6 +119,14 @@ def long_short(panel: DataFrame, feature: str, label: str, time: list[str], name
     ).withColumn("net", F.col("gross") - F.col("turnover") * fee)
 
 
+def break_even(moments: DataFrame, by: list[str]) -> DataFrame:
+    """A long-short backtest's moments (gross, turnover, net) summed up, with the fee at which nothing would be left."""
+    return moments.groupBy(*by).agg(
+        F.count("*").alias("moments"), F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover"), F.sum("net").alias("net"),
+        ratio(F.sum("gross"), F.sum("turnover")).alias("break_even"),
+    )
+
+
 def shuffled(panel: DataFrame, label: str, time: list[str], name: str, seed: str) -> DataFrame:
     """Labels permuted within each moment, the same way on every run and partitioning: by a digest of name and seed."""
     full = panel.where(F.col(label).isNotNull())
@@ -129,6 +137,38 @@ def shuffled(panel: DataFrame, label: str, time: list[str], name: str, seed: str
     return left.join(right, [*time, "_i"]).drop("_i")
 
 
+def renamed(panel: DataFrame, label: str, time: list[str], name: str, seed: str) -> DataFrame:
+    """Each name with the labels of another one at the same moments, the same other one throughout: a permutation of the names by a
+    digest of name and seed. Moments at which the other one has no label are left out."""
+    names = panel.select(name).distinct()
+    # the names themselves, not their rows: as many as there are symbols
+    place = names.select(name, F.row_number().over(Window.orderBy(name)).alias("_i"))
+    drawn = names.select(F.col(name).alias("_other"), F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", name, F.lit(seed))), name)).alias("_i"))
+    mapped = panel.drop(label).join(place.join(drawn, "_i").drop("_i"), name)
+    return mapped.join(panel.where(F.col(label).isNotNull()).select(*time, F.col(name).alias("_other"), label), [*time, "_other"]).drop("_other")
+
+
+def lagged(panel: DataFrame, feature: str, series: list[str], order: str, lags: tuple[int, ...]) -> DataFrame:
+    """The panel once for each lag, ``lag`` rows, with the feature as it was so many rows before within its series."""
+    w = Window.partitionBy(*series).orderBy(order)
+    staged = panel.withColumns({f"_l{k}": F.lag(feature, k).over(w) for k in lags})
+    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_l{k}").alias(feature)) for k in lags])
+    return staged.select(*[c for c in panel.columns if c != feature], F.inline(rows))
+
+
+def curves(groups: DataFrame, day: str, a_year: int = 240) -> DataFrame:
+    """Growth of each quantile group (day, grp, mean_label) and of the last less the first, with its ratio of mean to deviation a year: day, grp
+    (0 for the difference), growth; ratio on every row of a group."""
+    last, first = F.max(F.struct("grp", "mean_label")), F.min(F.struct("grp", "mean_label"))
+    spread = groups.groupBy(day).agg((last["mean_label"] - first["mean_label"]).alias("mean_label")).select(day, F.lit(0).alias("grp"), "mean_label")
+    every = groups.select(day, "grp", "mean_label").unionByName(spread)
+    w, run = Window.partitionBy("grp"), Window.partitionBy("grp").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    return every.select(
+        day, "grp", F.exp(F.sum(F.log1p("mean_label")).over(run)).alias("growth"),
+        (ratio(F.avg("mean_label").over(w), F.stddev_samp("mean_label").over(w)) * a_year**0.5).alias("yearly"),
+    )
+
+
 def gram(panel: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Sums of products of each pair of columns over complete rows, in one pass: what a linear fit needs of the data.
 

@@ -206,6 +206,54 @@ SELECT * REPLACE (round(ic, 6) AS ic) FROM ({_ic('ret_5', 'label_5', _T, LEAST,
 )
 _RETURNS = ", ".join(f"close / lag(close, {n}) OVER w - 1 AS ret_{n}" for n in (1, 5, 15, 60, 240))
 _SPANS = ", ".join(f"r{n} AS (PARTITION BY ticker, session_date ORDER BY minute ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (60, 240))
+_on_panel(
+    "placebo_names",
+    lambda p: evaluate.ic_by_time(evaluate.renamed(p.select("ticker", *TIME, "ret_5", "label_5"), "label_5", TIME, "ticker", "7"), "ret_5", "label_5", TIME, LEAST),
+    f""", names AS (SELECT DISTINCT ticker FROM panel),
+mapped AS (
+  SELECT a.ticker, b.other FROM (SELECT ticker, row_number() OVER (ORDER BY ticker) AS i FROM names) a
+  JOIN (SELECT ticker AS other, row_number() OVER (ORDER BY md5(ticker || '|7'), ticker) AS i FROM names) b USING (i)),
+mixed AS (SELECT p.ticker, p.session_date, p.minute, p.ret_5, o.label_5 FROM panel p JOIN mapped USING (ticker) JOIN panel o ON o.ticker = other AND o.session_date = p.session_date AND o.minute = p.minute)
+SELECT * REPLACE (round(ic, 6) AS ic) FROM ({_ic('ret_5', 'label_5', _T, LEAST, 'mixed')})""",
+)
+_on_panel(
+    "ic_lags",
+    lambda p: evaluate.summary(
+        evaluate.ic_by_time(evaluate.lagged(p, "ret_5", ["ticker", "session_date"], "minute", (0, 1, 5)), "ret_5", "label_5", [*TIME, "lag"], LEAST), ["lag"], "ic"
+    ),
+    ", shifted AS ("
+    + " UNION ALL ".join(
+        f"SELECT session_date, minute, {k} AS lag, lag(ret_5, {k}) OVER (PARTITION BY ticker, session_date ORDER BY minute) AS ret_5, label_5 FROM panel" for k in (0, 1, 5)
+    )
+    + f") SELECT lag, {_SUMMARY.format('ic')} FROM ({_ic('ret_5', 'label_5', _T + ', lag', LEAST, 'shifted')}) WHERE ic IS NOT NULL GROUP BY ALL",
+)
+_GROUPS = """full_ AS (SELECT session_date, rv_30, label_15 FROM panel WHERE rv_30 IS NOT NULL AND label_15 IS NOT NULL),
+edges AS (SELECT session_date, quantile_cont(rv_30, 0.2) AS a, quantile_cont(rv_30, 0.4) AS b, quantile_cont(rv_30, 0.6) AS c, quantile_cont(rv_30, 0.8) AS d FROM full_ GROUP BY ALL),
+grouped AS (
+  SELECT session_date, 1 + (rv_30 > a)::INT + (rv_30 > b)::INT + (rv_30 > c)::INT + (rv_30 > d)::INT AS grp, avg(label_15) AS m FROM full_ JOIN edges USING (session_date) GROUP BY ALL)"""
+_on_panel(
+    "quantile_curves",
+    lambda p: evaluate.curves(evaluate.quantile_groups(p, "rv_30", "label_15", ["session_date"], 5), "session_date"),
+    f""", {_GROUPS},
+every AS (SELECT * FROM grouped UNION ALL SELECT session_date, 0, arg_max(m, grp) - arg_min(m, grp) FROM grouped GROUP BY session_date)
+SELECT session_date, grp, round(exp(sum(ln(1 + m)) OVER (PARTITION BY grp ORDER BY session_date)), 6) AS growth,
+  round(avg(m) OVER (PARTITION BY grp) / nullif(stddev_samp(m) OVER (PARTITION BY grp), 0) * sqrt(240), 6) AS yearly FROM every""",
+)
+_on_panel(
+    "long_short_sessions",
+    lambda p: evaluate.break_even(
+        evaluate.long_short(
+            p.where("pmod(minute, 15) = 0 AND ret_15 IS NOT NULL"), "ret_15", "label_15", TIME, "ticker", 2, 0.0002, [F.col("session_date"), F.col("minute")]
+        ),
+        ["session_date"],
+    ),
+    f""", sampled AS (SELECT * FROM panel WHERE minute % 15 = 0 AND ret_15 IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {_T} ORDER BY ret_15, ticker) AS l, row_number() OVER (PARTITION BY {_T} ORDER BY ret_15 DESC, ticker) AS h FROM sampled),
+held AS (SELECT *, CASE WHEN h <= 2 THEN 0.5::DOUBLE WHEN l <= 2 THEN -0.5::DOUBLE ELSE 0::DOUBLE END AS w FROM ranked),
+moved AS (SELECT *, abs(w - coalesce(lag(w) OVER (PARTITION BY ticker ORDER BY session_date, minute), 0)) AS dw FROM held)
+SELECT session_date, count(DISTINCT minute) AS moments, round(sum(w * coalesce(label_15, 0)), 6) AS gross, round(sum(dw), 6) AS turnover,
+  round(sum(w * coalesce(label_15, 0)) - sum(dw) * 0.0002, 6) AS net, round(sum(w * coalesce(label_15, 0)) / nullif(sum(dw), 0), 6) AS break_even FROM moved GROUP BY ALL""",
+)
 _on_panel(
     "rolling_factors",
     bars.rolling_factors,

@@ -20,6 +20,30 @@ def book_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return book.snapshots(tapes.tape(table(spark, d, "event_feed")))
 
 
+def depth_features(spark: SparkSession, d: str) -> DataFrame:
+    return round_all(book.depth_features(book_snapshots(spark, d)))
+
+
+def repaired_prices(spark: SparkSession, d: str) -> DataFrame:
+    return book.repaired_prices(table(spark, d, "lob_records"))
+
+
+def level_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and cancels of each five minutes by how deep in their own side's book they stand: crossing, first level, to 5, to 10, beyond."""
+    rows = book.usable_book(table(spark, d, "lob_records")).where("ordertype IN ('wt', 'cl') AND direction IS NOT NULL")
+    place = F.when(F.col("direction") == "B", F.col("bidposition")).otherwise(F.col("askposition"))
+    depth = F.when(place == 0, 0).when(place == 1, 1).when(place <= 5, 5).when(place <= 10, 10).otherwise(11)
+    slot = ((F.floor(F.col("timeseconds") / 300) + 1) * 300).cast("long")
+    return rows.where(place.isNotNull()).groupBy(*tapes.DAY, slot.alias("slot"), "ordertype", "direction", depth.alias("depth")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+
+
+def type_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of each five minutes by their aggressiveness and side."""
+    rows = book.usable_book(table(spark, d, "lob_records")).where("ordertype = 'wt' AND direction IS NOT NULL")
+    slot = ((F.floor(F.col("timeseconds") / 300) + 1) * 300).cast("long")
+    return rows.groupBy(*tapes.DAY, slot.alias("slot"), "direction", book.aggressiveness().alias("kind")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+
+
 def auction_uncross(spark: SparkSession, d: str) -> DataFrame:
     """Clearing of the orders of each five minutes as if they were called at once."""
     orders = tapes.tape(table(spark, d, "event_feed")).where("actiontype = 0 AND direction IS NOT NULL").select(
@@ -184,7 +208,7 @@ def lot_schedule(spark: SparkSession, d: str, parts: int = 4) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        book_snapshots, auction_uncross, crossing_class, flow_rollup, book_features, after_state, ordered_gaps, second_histogram, bars_3s, minute_slots,
+        book_snapshots, depth_features, repaired_prices, level_ranges, type_slots, auction_uncross, crossing_class, flow_rollup, book_features, after_state, ordered_gaps, second_histogram, bars_3s, minute_slots,
         life_times, id_index, event_windows,
         feed_coverage, days_in_both, days_in_one, strategy_summary, strategy_weekdays, held_position, clean_specs, lot_schedule,
     )
@@ -208,8 +232,7 @@ b AS (
     arg_min(cents, seqno) AS open, max(cents) AS high, min(cents) AS low, arg_max(cents, seqno) AS close, sum(volume)::BIGINT AS volume, sum(cents * volume)::BIGINT AS amount, count(*) AS n
   FROM timed WHERE actiontype = 2 AND ms >= 34200000 GROUP BY ALL)"""
 
-SQL = {
-    "book_snapshots": f"""
+_BOOK = f"""
 WITH {TAPE},
 touched AS (
   SELECT symbol, trade_date, seqno, actiontype, ms, volume, unnest([buyid, sellid]) AS sysid FROM timed WHERE actiontype = 2
@@ -219,17 +242,51 @@ known AS (
     sum(t.volume) OVER (PARTITION BY t.symbol, t.trade_date, t.sysid ORDER BY t.seqno, t.actiontype ROWS UNBOUNDED PRECEDING) AS s
   FROM touched t JOIN orders_first o USING (symbol, trade_date, sysid) WHERE t.seqno >= o.order_seq),
 deltas AS (
-  SELECT symbol, trade_date, order_side AS side, order_cents AS cents, order_ms // 900000 AS period, order_volume AS delta FROM orders_first
-  UNION ALL SELECT symbol, trade_date, order_side, order_cents, ms // 900000, -least(volume, greatest(order_volume - (s - volume), 0)) FROM known),
-summed AS (SELECT symbol, trade_date, side, cents, period, sum(delta) AS delta FROM deltas WHERE side IS NOT NULL GROUP BY ALL),
+  SELECT symbol, trade_date, order_side AS side, order_cents AS cents, order_ms // 900000 AS period, order_volume AS delta, (order_volume > 0)::INT AS dn FROM orders_first
+  UNION ALL SELECT symbol, trade_date, order_side, order_cents, ms // 900000, -least(volume, greatest(order_volume - (s - volume), 0)),
+    -(order_volume - (s - volume) > 0 AND volume >= order_volume - (s - volume))::INT FROM known),
+summed AS (SELECT symbol, trade_date, side, cents, period, sum(delta) AS delta, sum(dn) AS dn FROM deltas WHERE side IS NOT NULL GROUP BY ALL),
 ends AS (SELECT symbol, trade_date, max(period) AS hi FROM summed GROUP BY ALL),
 standing AS (
-  SELECT *, sum(delta) OVER w AS volume, lead(period) OVER w AS nxt FROM summed WINDOW w AS (PARTITION BY symbol, trade_date, side, cents ORDER BY period)),
+  SELECT *, sum(delta) OVER w AS volume, sum(dn) OVER w AS orders, lead(period) OVER w AS nxt FROM summed WINDOW w AS (PARTITION BY symbol, trade_date, side, cents ORDER BY period)),
 every AS (
-  SELECT symbol, trade_date, side, cents, volume, unnest(generate_series(period, coalesce(nxt - 1, hi))) AS period
-  FROM standing JOIN ends USING (symbol, trade_date) WHERE volume > 0)
-SELECT symbol, trade_date, period, side, row_number() OVER (PARTITION BY symbol, trade_date, period, side ORDER BY CASE side WHEN 'B' THEN -cents ELSE cents END)::INTEGER AS level,
-  cents, volume::BIGINT AS volume FROM every QUALIFY level <= 5""",
+  SELECT symbol, trade_date, side, cents, volume, orders, unnest(generate_series(period, coalesce(nxt - 1, hi))) AS period
+  FROM standing JOIN ends USING (symbol, trade_date) WHERE volume > 0),
+levels AS (
+  SELECT symbol, trade_date, period, side, row_number() OVER (PARTITION BY symbol, trade_date, period, side ORDER BY CASE side WHEN 'B' THEN -cents ELSE cents END)::INTEGER AS level,
+    cents, volume::BIGINT AS volume, orders::BIGINT AS orders FROM every QUALIFY level <= 10)"""
+_DEPTH = ", ".join(
+    f"coalesce(sum(volume) FILTER (side = '{s}' AND level <= 5), 0)::BIGINT AS {n}_few, coalesce(sum(volume) FILTER (side = '{s}'), 0)::BIGINT AS {n}_all, max(cents) FILTER (side = '{s}' AND level = 5) AS {n}_price_5, "
+    + ", ".join(f"coalesce(sum(volume) FILTER (side = '{s}' AND away <= {k}), 0)::BIGINT AS {n}_within_{k}" for k in (5, 20))
+    for n, s in (("bid", "B"), ("ask", "S"))
+)
+_TYPES = f"""
+WITH o AS (
+  SELECT *, CASE direction WHEN 'B' THEN 1 ELSE -1 END AS sign, CASE direction WHEN 'B' THEN akp1 ELSE bdp1 END AS far, CASE direction WHEN 'B' THEN bdp1 ELSE akp1 END AS near,
+    CASE direction WHEN 'B' THEN akv1 ELSE bdv1 END AS fv FROM lob_records WHERE {_GOOD} AND ordertype = 'wt' AND direction IS NOT NULL),
+k AS (SELECT *, {_CENTS.format('price')} * sign AS p, CASE WHEN isfinite(far) AND far > 0 THEN {_CENTS.format('far')} * sign END AS f, CASE WHEN isfinite(near) AND near > 0 THEN {_CENTS.format('near')} * sign END AS n FROM o)"""
+_KIND = "CASE WHEN p > f AND volume >= coalesce(fv, 0) THEN 1 WHEN p = f AND volume >= coalesce(fv, 0) THEN 2 WHEN p >= f THEN 3 WHEN p < f AND p > n THEN 4 WHEN p = n THEN 5 WHEN p < n THEN 6 ELSE 0 END"
+
+SQL = {
+    "book_snapshots": f"{_BOOK} SELECT * FROM levels",
+    "depth_features": f"""{_BOOK},
+away AS (SELECT *, abs(cents - first_value(cents) OVER (PARTITION BY symbol, trade_date, period, side ORDER BY level)) AS away FROM levels),
+sums AS (
+  SELECT symbol, trade_date, period, {_DEPTH} FROM away GROUP BY ALL)
+SELECT *, round((bid_few - ask_few)::DOUBLE / nullif(bid_few + ask_few, 0), 6) AS imbalance_few, round((bid_all - ask_all)::DOUBLE / nullif(bid_all + ask_all, 0), 6) AS imbalance_all FROM sums""",
+    "repaired_prices": """
+WITH own AS (
+  SELECT symbol, trade_date, sysid, price AS own FROM lob_records WHERE ordertype = 'wt' AND isfinite(price) AND price > 0
+  QUALIFY row_number() OVER (PARTITION BY symbol, trade_date, sysid ORDER BY seqno, rec_id) = 1),
+bad AS (SELECT *, CASE direction WHEN 'B' THEN akp1 WHEN 'S' THEN bdp1 END AS other FROM lob_records LEFT JOIN own USING (symbol, trade_date, sysid) WHERE NOT coalesce(isfinite(price) AND price > 0, false)),
+fit AS (SELECT *, CASE WHEN isfinite(other) AND other > 0 THEN other END AS o FROM bad)
+SELECT rec_id, ordertype, CASE WHEN ordertype = 'cl' THEN coalesce(own, o) ELSE o END AS price FROM fit""",
+    "level_ranges": f"""
+WITH r AS (
+  SELECT *, CASE direction WHEN 'B' THEN bidposition ELSE askposition END AS place FROM lob_records WHERE {_GOOD} AND ordertype IN ('wt', 'cl') AND direction IS NOT NULL)
+SELECT symbol, trade_date, CAST((floor(timeseconds / 300) + 1) * 300 AS BIGINT) AS slot, ordertype, direction, CASE WHEN place = 0 THEN 0 WHEN place = 1 THEN 1 WHEN place <= 5 THEN 5 WHEN place <= 10 THEN 10 ELSE 11 END AS depth,
+  count(*) AS n, sum(volume)::BIGINT AS volume FROM r WHERE place IS NOT NULL GROUP BY ALL""",
+    "type_slots": f"{_TYPES} SELECT symbol, trade_date, CAST((floor(timeseconds / 300) + 1) * 300 AS BIGINT) AS slot, direction, {_KIND} AS kind, count(*) AS n, sum(volume)::BIGINT AS volume FROM k GROUP BY ALL",
     "auction_uncross": f"""
 WITH {TAPE},
 called AS (SELECT symbol, trade_date, ms // 300000 AS block, direction AS side, cents, volume FROM timed WHERE actiontype = 0 AND direction IS NOT NULL),
@@ -241,13 +298,7 @@ curve AS (
 SELECT symbol, trade_date, block, cents AS clear_cents, least(demand, supply)::BIGINT AS executed, (demand - supply)::BIGINT AS surplus
 FROM curve WHERE least(demand, supply) > 0
 QUALIFY row_number() OVER (PARTITION BY symbol, trade_date, block ORDER BY least(demand, supply) DESC, abs(demand - supply), cents DESC) = 1""",
-    "crossing_class": f"""
-WITH o AS (
-  SELECT *, CASE direction WHEN 'B' THEN 1 ELSE -1 END AS sign, CASE direction WHEN 'B' THEN akp1 ELSE bdp1 END AS far, CASE direction WHEN 'B' THEN bdp1 ELSE akp1 END AS near,
-    CASE direction WHEN 'B' THEN akv1 ELSE bdv1 END AS fv FROM lob_records WHERE {_GOOD} AND ordertype = 'wt' AND direction IS NOT NULL),
-k AS (SELECT *, {_CENTS.format('price')} * sign AS p, CASE WHEN isfinite(far) AND far > 0 THEN {_CENTS.format('far')} * sign END AS f, CASE WHEN isfinite(near) AND near > 0 THEN {_CENTS.format('near')} * sign END AS n FROM o)
-SELECT trade_date, direction, CASE WHEN p > f AND volume >= coalesce(fv, 0) THEN 1 WHEN p = f AND volume >= coalesce(fv, 0) THEN 2 WHEN p >= f THEN 3 WHEN p < f AND p > n THEN 4 WHEN p = n THEN 5 WHEN p < n THEN 6 ELSE 0 END AS kind,
-  count(*) AS n, sum(volume)::BIGINT AS volume FROM k GROUP BY ALL""",
+    "crossing_class": f"{_TYPES} SELECT trade_date, direction, {_KIND} AS kind, count(*) AS n, sum(volume)::BIGINT AS volume FROM k GROUP BY ALL",
     "flow_rollup": f"""
 WITH r AS (SELECT symbol, trade_date, CAST((floor(timeseconds / 300) + 1) * 300 AS BIGINT) AS slot, ordertype, direction, price, volume, seqno, rec_id FROM lob_records WHERE {_GOOD})
 SELECT symbol, trade_date, slot, ordertype, direction, count(*) AS n, sum(volume)::BIGINT AS volume, round(sum(price * volume) / sum(volume), 6) AS vwap,

@@ -68,3 +68,27 @@ def test_shuffle_keeps_labels_within_their_moment(spark):
     out = evaluate.shuffled(spark.createDataFrame(rows, "t int, name string, y double"), "y", ["t"], "name", "1").collect()
     for t in range(3):
         assert sorted(r.y for r in out if r.t == t) == [10 * t + i for i in range(6)]
+
+
+def test_renamed_gives_each_name_the_labels_of_one_other(spark):
+    rows = [(t, f"n{i}", float(i), float(100 * t + i)) for t in range(3) for i in range(8) if (t, i) != (2, 5)]
+    out = evaluate.renamed(spark.createDataFrame(rows, "t int, name string, x double, y double"), "y", ["t"], "name", "7").collect()
+    other = {}
+    for r in out:
+        other.setdefault(r.name, set()).add(int(r.y) % 100)
+    assert all(len(v) == 1 for v in other.values()) and sorted(v.pop() for v in other.values()) == list(range(8))
+    assert len(out) in (22, 23)  # a moment is lost where the name or its other one is missing
+
+
+def test_lagged_features_stay_in_their_series(spark):
+    df = spark.createDataFrame([(s, m, float(10 * m)) for s in "ab" for m in range(3)], "s string, m int, x double")
+    got = {(r.s, r.m, r.lag): r.x for r in evaluate.lagged(df, "x", ["s"], "m", (0, 2)).collect()}
+    assert len(got) == 12 and got["a", 2, 2] == 0.0 and got["b", 1, 0] == 10.0 and got["b", 1, 2] is None
+
+
+def test_curves_and_break_even(spark):
+    groups = spark.createDataFrame([(d, g, r) for d, (a, b) in enumerate([(0.1, -0.1), (0.0, 0.2)]) for g, r in ((1, a), (2, b))], "d int, grp int, mean_label double")
+    got = {(r.d, r.grp): r.growth for r in evaluate.curves(groups, "d").collect()}
+    assert np.isclose(got[1, 1], 1.1) and np.isclose(got[1, 2], 0.9 * 1.2) and np.isclose(got[1, 0], 0.8 * 1.2)
+    moments = spark.createDataFrame([("d", 0.02, 1.0, 0.01), ("d", 0.01, 2.0, -0.01), ("e", 0.0, 0.0, 0.0)], "day string, gross double, turnover double, net double")
+    assert {r.day: r.break_even for r in evaluate.break_even(moments, ["day"]).collect()} == {"d": 0.01, "e": None}
