@@ -339,7 +339,7 @@ FROM g LEFT JOIN l USING (symbol, trade_date, minute)""",
 WITH {TAPE}, c AS (
   SELECT symbol, trade_date, CASE WHEN ms < 34200000 THEN 0 WHEN ms < 46800000 THEN 1 WHEN ms < 53820000 THEN 2 ELSE 3 END AS phase, ms // 60000 AS minute, count(*) AS n, sum(volume) AS v
   FROM timed WHERE actiontype = 1 GROUP BY ALL)
-SELECT symbol, trade_date, phase, minute, sum(n) OVER w AS n, sum(v) OVER w AS volume FROM c WINDOW w AS (PARTITION BY symbol, trade_date, phase ORDER BY minute)""",
+SELECT symbol, trade_date, phase, minute, (sum(n) OVER w)::BIGINT AS n, (sum(v) OVER w)::BIGINT AS volume FROM c WINDOW w AS (PARTITION BY symbol, trade_date, phase ORDER BY minute)""",
     "strategy_growth": """
 WITH d AS (
   SELECT strat, coalesce(try_strptime(date, '%Y%m%d'), try_strptime(date, '%Y-%m-%d'))::DATE AS day, CASE WHEN isnan(bp) THEN NULL ELSE bp END AS bp FROM daily_s1
