@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.clean import MINUTE_NS, clock_ticks, finite, plain_id
 from tapeline.operators.tape import CANCEL, ORDER, TRADE, cents
+from tapeline.sources.csv_files import read_csv
 
 TAPE = [
     "symbol", "market", "trade_date", "seqno", "hms", "timeseconds", "actiontype", "direction", "sysid", "buyid", "sellid",
@@ -18,10 +19,6 @@ TAPE = [
 ]
 
 
-def _csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-
-
 def _get(df: DataFrame, name: str, kind: str = "string") -> Column:
     """A field of the header as ``kind``; null where the file lacks it or it can't be read."""
     return F.col(f"`{name}`").try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
@@ -38,7 +35,7 @@ def _tape(df: DataFrame, **fields: Column) -> DataFrame:
 
 def unified(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The unified feed of both markets: ids with channel prefix, sides as 0 and 1, one sequence ``appSeq``; a file or a folder of slices."""
-    df = _csv(spark, path)
+    df = read_csv(spark, path)
     action = _get(df, "actionType", "int")
     bid, ask = F.coalesce(_get(df, "bidId", "long"), F.lit(0)), F.coalesce(_get(df, "askId", "long"), F.lit(0))
     code = F.split(F.col("instrumentID"), r"\.")
@@ -66,7 +63,7 @@ def unified(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def shanghai(spark: SparkSession, path: str | list[str], trade_date: str) -> DataFrame:
     """One file of orders (A), cancels (D) and trades (T), others left out; the flag B, S or N says who was active."""
-    df = _csv(spark, path)
+    df = read_csv(spark, path)
     buy, sell = F.coalesce(_get(df, "BuyOrderNO", "long"), F.lit(0)), F.coalesce(_get(df, "SellOrderNO", "long"), F.lit(0))
     kind, flag, zero = _get(df, "Type"), _get(df, "TickBSFlag"), F.lit(0).cast("long")
     action = F.when(kind == "A", ORDER).when(kind == "D", CANCEL).when(kind == "T", TRADE)
@@ -91,7 +88,7 @@ def shanghai(spark: SparkSession, path: str | list[str], trade_date: str) -> Dat
 
 def shenzhen(spark: SparkSession, orders: str | list[str], trades: str | list[str], trade_date: str) -> DataFrame:
     """A file of orders (side 49 buys; type 49 market, 85 own best) and one of cancels (52) and trades (70)."""
-    o, t = _csv(spark, orders), _csv(spark, trades)
+    o, t = read_csv(spark, orders), read_csv(spark, trades)
     symbol = lambda df: F.lpad(_get(df, "SecurityID"), 6, "0")
     common = lambda df: {"symbol": symbol(df), "market": F.lit("sz"), "trade_date": F.lit(trade_date), "seqno": _get(df, "ApplSeqNum", "long"), "hms": _get(df, "TransactTime")}
     kind = _get(o, "OrdType", "int")
@@ -143,7 +140,7 @@ def minute_bars(
     paths = [r.path for r in dated.where(F.col("date").between(first, last)).collect()]  # names of files only
     if not paths:
         raise FileNotFoundError(f"no bars from {first} to {last} below {folder}")
-    raw = _csv(spark, paths)
+    raw = read_csv(spark, paths)
     raw = raw.withColumnsRenamed({k: v for k, v in SHORT.items() if "window_start" not in raw.columns and k in raw.columns})
     lacking = {"ticker", "window_start", "open", "high", "low", "close", "volume"} - set(raw.columns)
     if lacking:

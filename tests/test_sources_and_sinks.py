@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline.sinks import folders
-from tapeline.sources import feeds
+from tapeline.sources import feeds, panels
 
 
 def write(path, *lines):
@@ -123,3 +123,18 @@ def test_run_folder_is_fresh_and_says_how_it_ended(spark, tmp_path):
     with pytest.raises(Exception):
         folders.write_run({"a": spark.range(3).selectExpr("assert_true(id > 5)")}, str(tmp_path / "bad"))
     assert json.loads((tmp_path / "bad" / "manifest.json").read_text())["status"] == "failed"
+
+
+def test_panels_of_a_file_a_day(spark, tmp_path):
+    write(tmp_path / "panel_id_20200102.csv", "sym,x", "000001,1.5", "000002,")
+    write(tmp_path / "panel_id_2020-01-03.csv", "sym,x", "000001,2.5")
+    write(tmp_path / "panel_id_20200401.csv", "sym,x", "000001,7")
+    write(tmp_path / "readme.csv", "sym,x", "000001,8")
+    a = panels.day_files(spark, str(tmp_path), "sym string, x double, z int", "20200101", "20200131")
+    assert sorted(map(tuple, a.collect()), key=str) == [("000001", 1.5, None, "20200102"), ("000001", 2.5, None, "20200103"), ("000002", None, None, "20200102")]
+    write(tmp_path / "panel_id_20200104.csv", "x,sym", "2.5,000001")
+    with pytest.raises(Exception, match="(?i)header"):
+        panels.day_files(spark, str(tmp_path), "sym string, x double", "20200101", "20200131").collect()
+    b = spark.createDataFrame([("000001", "20200102", 5, 0.0)], "sym string, day string, w int, x double")
+    assert [r.asDict() for r in panels.merged([a, b], ["sym", "day"]).collect()] == [{"sym": "000001", "day": "20200102", "x": 1.5, "z": None, "w": 5}]
+    assert panels.day_files(spark, str(tmp_path), "sym string", "21000101", "21000102").collect() == []
